@@ -3,8 +3,8 @@
 Rules look at a document's base metrics and vote good (1), bad (-1) or abstain (0). The
 number of documents with each combination of votes is a sufficient statistic, so
 expectation-maximisation runs over at most 3^rules counted combinations (a fixed bound)
-and not over documents. It estimates how often each rule is right about good and about bad
-documents; a document is kept if its posterior probability of being good is at least 0.5.
+and not over documents. It estimates how often each rule votes either way about good and
+about bad documents; a document is kept if its posterior probability of being good is at least 0.5.
 """
 
 from __future__ import annotations
@@ -16,10 +16,17 @@ from pyspark.sql import functions as F
 
 from strataleaf.llm.common import WS_CHARS, WS_CLASS, cut
 
-#: Pseudo-votes of each rule: right and wrong ones, for good and for bad documents.
-PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
-#: Pseudo-documents, good and bad.
-PRIOR_GOOD, PRIOR_BAD = 9.0, 1.0
+VOTES = (-1, 0, 1)
+#: Rates of bad votes, abstentions and good votes that the fit starts from and is drawn to with the
+#: weight of PRIOR_DOCS documents: about good documents, from the rule that names a class of bad
+#: documents, and from the other rules about those.
+START = {"good": (0.002, 0.399, 0.599), "own": (0.9, 0.06, 0.04), "other": (0.1, 0.45, 0.45)}
+PRIOR_DOCS = 20.0
+#: Rules are written to hold their fire on good documents. Left free, the fit would explain a common
+#: fault as an error of its rule; so the rates about good documents are drawn to START with the
+#: weight of ANCHOR times all documents, at any size of the corpus.
+ANCHOR = 10.0
+START_GOOD = 0.9
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -72,59 +79,66 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Name -> vote. Rates are per word; texts of under 20 words get abstentions where a rate says little."""
+    """Name -> vote. Rates are per word; a rule abstains where its rate says little."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     rate = lambda c: F.col(c) / n
     enough = F.col("n_words") >= 20
     length = F.col("word_chars") / n
+    never = F.lit(False)
     return {
-        "symbols": _vote(rate("n_symbols") < 0.02, rate("n_symbols") > 0.1),
+        "symbols": _vote(never, rate("n_symbols") > 0.1),
         "word_length": _vote((length >= 3) & (length <= 10), enough & ((length < 2) | (length > 16))),
-        "capitals": _vote(F.col("n_upper") < 0.15 * F.col("word_chars"), enough & (F.col("n_upper") > 0.4 * F.col("word_chars"))),
-        "shouting": _vote(rate("n_shouts") < 0.05, enough & (rate("n_shouts") > 0.2)),
-        "letterless": _vote(rate("n_no_letter") < 0.1, enough & (rate("n_no_letter") > 0.25)),
-        "repeated_words": _vote(rate("n_repeat_words") < 0.2, rate("n_repeat_words") > 0.4),
+        "capitals": _vote(never, enough & (F.col("n_upper") > 0.4 * F.col("word_chars"))),
+        "shouting": _vote(never, enough & (rate("n_shouts") > 0.2)),
+        "letterless": _vote(never, enough & (rate("n_no_letter") > 0.25)),
+        "repeated_words": _vote(rate("n_repeat_words") < 0.1, rate("n_repeat_words") > 0.4),
         "vocabulary": _vote(F.col("n_distinct_words") > 4 * F.sqrt(n), enough & (F.col("n_distinct_words") < 1.2 * F.sqrt(n))),
-        "repeated_lines": _vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") > 0.4 * F.col("n_lines")),
+        "repeated_lines": _vote(never, F.col("n_dup_lines") > 0.4 * F.col("n_lines")),
     }
 
 
-def fit(counts: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9) -> dict:
-    """Accuracies by expectation-maximisation over (votes, documents) pairs."""
+def fit(counts: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9) -> list[dict]:
+    """Classes of documents with their share and vote rates, by expectation-maximisation over (votes, documents) pairs.
+
+    Class 0 is the good documents; class j + 1 are documents that are bad in the way that
+    rule j looks for. Each has "share" and, for each rule, the rates of VOTES.
+    """
     counts = sorted(counts)
     n_rules = len(counts[0][0]) if counts else 0
-    good, right_good, right_bad = 0.9, [0.8] * n_rules, [0.8] * n_rules
-    previous = None
+    start = [{"share": START_GOOD, "rates": [START["good"]] * n_rules}]
+    start += [{"share": (1 - START_GOOD) / n_rules, "rates": [START["own" if j == k else "other"] for j in range(n_rules)]} for k in range(n_rules)]
+    model = start
     for _ in range(rounds):
-        model = {"good": good, "right_good": right_good, "right_bad": right_bad}
-        total_good, total = PRIOR_GOOD, PRIOR_GOOD + PRIOR_BAD
-        seen = [[[PRIOR_RIGHT, PRIOR_WRONG], [PRIOR_RIGHT, PRIOR_WRONG]] for _ in range(n_rules)]
-        fit_so_far = 0.0
+        held = [PRIOR_DOCS * c["share"] for c in start]
+        seen = [[[PRIOR_DOCS * r for r in rates] for rates in c["rates"]] for c in start]
+        firm = ANCHOR * sum(n for _, n in counts)
         for votes, n in counts:
-            odds = log_odds(model, votes)
-            p = 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
-            total_good += n * p
-            total += n
-            fit_so_far += n * p
-            for j, v in enumerate(votes):
-                if v:
-                    seen[j][0][v < 0] += n * p
-                    seen[j][1][v > 0] += n * (1 - p)
-        good = total_good / total
-        right_good = [s[0][0] / sum(s[0]) for s in seen]
-        right_bad = [s[1][0] / sum(s[1]) for s in seen]
-        now = [good, *right_good, *right_bad]
-        if previous and max(abs(a - b) for a, b in zip(now, previous, strict=True)) < tolerance:
+            for z, p in enumerate(posterior(model, votes)):
+                held[z] += n * p
+                for j, v in enumerate(votes):
+                    seen[z][j][v + 1] += n * p
+        total = sum(held)
+        for rates, begun in zip(seen[0], start[0]["rates"], strict=True):
+            fired = (rates[0] + firm * begun[0]) / (sum(rates) + firm)
+            rest = rates[1] + rates[2]
+            rates[:] = fired, (1 - fired) * rates[1] / rest, (1 - fired) * rates[2] / rest
+        new = [{"share": h / total, "rates": [tuple(x / sum(s) for x in s) for s in rules]} for h, rules in zip(held, seen, strict=True)]
+        moved = max(abs(a["share"] - b["share"]) for a, b in zip(new, model, strict=True))
+        model = new
+        if moved < tolerance:
             break
-        previous = now
-    return {"good": good, "right_good": right_good, "right_bad": right_bad}
+    return model
+
+
+def scores(model: list[dict], votes: tuple[int, ...]) -> list[float]:
+    return [math.log(c["share"]) + sum(math.log(r[v + 1]) for r, v in zip(c["rates"], votes, strict=True)) for c in model]
 
 
-def log_odds(model: dict, votes: tuple[int, ...]) -> float:
-    out = math.log(model["good"] / (1 - model["good"]))
-    for v, a, b in zip(votes, model["right_good"], model["right_bad"], strict=True):
-        out += math.log(a / (1 - b)) if v > 0 else math.log((1 - a) / b) if v < 0 else 0.0
-    return out
+def posterior(model: list[dict], votes: tuple[int, ...]) -> list[float]:
+    found = scores(model, votes)
+    top = max(found)
+    parts = [math.exp(x - top) for x in found]
+    return [x / sum(parts) for x in parts]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,8 +156,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     names = [f"vote_{k}" for k in votes]
     counts = [(tuple(r[k] for k in names), r["count"]) for r in rows.groupBy(*names).count().collect()]
     model = fit(counts)
-    odds = F.lit(math.log(model["good"] / (1 - model["good"])))
-    for name, a, b in zip(names, model["right_good"], model["right_bad"], strict=True):
-        odds = odds + F.when(F.col(name) > 0, F.lit(math.log(a / (1 - b)))).when(F.col(name) < 0, F.lit(math.log((1 - a) / b))).otherwise(F.lit(0.0))
-    p = 1 / (1 + F.exp(-odds))
-    return rows.withColumn("p_good", p).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+    logs = []
+    for c in model:
+        total = F.lit(math.log(c["share"]))
+        for name, (bad, none, good) in zip(names, c["rates"], strict=True):
+            total = total + F.when(F.col(name) > 0, F.lit(math.log(good))).when(F.col(name) < 0, F.lit(math.log(bad))).otherwise(F.lit(math.log(none)))
+        logs.append(total)
+    rows = rows.withColumn("_logs", F.array(*logs))
+    first = F.get("_logs", F.lit(0))
+    p = 1 / F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(F.least(x - first, F.lit(700.0))))
+    return rows.withColumn("p_good", p).drop("_logs").withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
