@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataleaf.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash
+from strataleaf.llm import exact_dedup, html_extract, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from strataleaf.llm.common import UPPER, load
 
 TOKENIZER = "byte_bpe_50k"
@@ -27,11 +27,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(load(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(load(spark, sf_dir, "pages"), url_filter.parse_rules(URL_RULES)).withColumn("purity", F.round("purity", 6))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
@@ -44,13 +55,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(load(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(load(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
+    "op10_html_extract": op10_html_extract,
 }
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
