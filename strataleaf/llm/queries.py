@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataleaf.llm import exact_dedup, html_extract, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from strataleaf.llm import exact_dedup, html_extract, language_id, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from strataleaf.llm.common import UPPER, load
 
 TOKENIZER = "byte_bpe_50k"
@@ -17,6 +17,13 @@ def tokenizer_files() -> dict[str, str]:
     return {"vocabulary": public_tokenizers.path(f"{TOKENIZER}.json"), "ranks": public_tokenizers.path(f"{TOKENIZER}.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages together: doc_id is null in rows of pages, page_id in rows of documents."""
+    docs = load(spark, sf_dir, "documents")
+    rows = language_id.document_rows(docs).unionByName(language_id.page_rows(load(spark, sf_dir, "pages")))
+    return language_id.identify(rows, docs).withColumn("confidence", F.round("confidence", 6))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.line_dedup(load(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -60,6 +67,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
