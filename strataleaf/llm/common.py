@@ -31,6 +31,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of one Arrow batch at most: a batch of whole texts has to fit into a Python worker several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session small; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

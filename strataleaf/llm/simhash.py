@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import cut
+from strataleaf.llm.common import cut, small_batches
 
 #: Members from which a shard is dealt out again, and members of one tree at most.
 SPLIT = 512
@@ -282,6 +282,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     have fingerprint zero and are linked like any other. A null id gets the component of
     its fingerprint. An empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     marked = cut(fingerprints(docs, id_col, text_col, width))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     edges = links(nodes.select("fp"), radius, split, tree)
