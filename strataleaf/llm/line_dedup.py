@@ -26,6 +26,9 @@ BITS_PER_LINE = 16
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 #: Bits of one chunk of a filter.
 CHUNK = 1 << 19
+#: A repeated line is hot from 1/HOT_KEYS of the suspected lines on, but not below HOT_MIN of them, if it has
+#: at most HOT_CHARS characters: the table of hot lines is bounded by the product and can be broadcast.
+HOT_KEYS, HOT_MIN, HOT_CHARS = 1024, 256, 1000
 _SEEN_ONCE, _SEEN_TWICE = 1, 2
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -187,8 +190,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         suspects = found if suspects is None else suspects.unionByName(found)
     suspects = cut(suspects)
     chosen = F.max("doc_id") if keep == "max" else F.min("doc_id")
-    repeated = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), chosen.alias("holder")).where(F.col("n") >= least_docs).where("holder IS NOT NULL").select("key", "holder")
-    lost = suspects.join(repeated, "key").where("doc_id IS NULL OR doc_id <> holder").groupBy(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_id")).agg(F.collect_set("key").alias("_lost"))
+    repeated = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), chosen.alias("holder")).where(F.col("n") >= least_docs).where("holder IS NOT NULL")
+    repeated = cut(repeated)
+    is_hot = (F.col("n") >= max(HOT_MIN, math.ceil(suspects.count() / HOT_KEYS))) & (F.length("key") <= HOT_CHARS)
+    hot = F.broadcast(repeated.where(is_hot).select("key", "holder"))
+    # A hot line meets its holder where it is; the others are dealt out by the line.
+    met = suspects.join(hot, "key").unionByName(suspects.join(hot, "key", "left_anti").join(repeated.where(~is_hot).select("key", "holder"), "key"))
+    lost = met.where("doc_id IS NULL OR doc_id <> holder").groupBy(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_id")).agg(F.collect_set("key").alias("_lost"))
     joined = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).join(lost, "_id", "left").select("doc_id", "text", "_lost")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
