@@ -35,8 +35,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id; shingles of five words."""
-    return _take(docs, simhash.simhash_groups(docs, width=5, radius=4).where("doc_id = component_id"))
+    """One document of each SimHash component, the one with the smallest id; shingles of five words, up to six differing bits."""
+    return _take(docs, simhash.simhash_groups(docs, width=5, radius=6).where("doc_id = component_id"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
