@@ -97,14 +97,14 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(counts: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9) -> list[dict]:
+def fit(counts: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, tolerance: float = 1e-9) -> list[dict]:
     """Classes of documents with their share and vote rates, by expectation-maximisation over (votes, documents) pairs.
 
     Class 0 is the good documents; class j + 1 are documents that are bad in the way that
-    rule j looks for. Each has "share" and, for each rule, the rates of VOTES.
+    rule j looks for. Each has "share" and, for each rule, the rates of VOTES. Without
+    documents the model is the one that the fit starts from.
     """
     counts = sorted(counts)
-    n_rules = len(counts[0][0]) if counts else 0
     start = [{"share": START_GOOD, "rates": [START["good"]] * n_rules}]
     start += [{"share": (1 - START_GOOD) / n_rules, "rates": [START["own" if j == k else "other"] for j in range(n_rules)]} for k in range(n_rules)]
     model = start
@@ -155,7 +155,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = cut(rows.select("*", *[v.cast("int").alias(f"vote_{k}") for k, v in votes.items()]))
     names = [f"vote_{k}" for k in votes]
     counts = [(tuple(r[k] for k in names), r["count"]) for r in rows.groupBy(*names).count().collect()]
-    model = fit(counts)
+    model = fit(counts, len(names))
     logs = []
     for c in model:
         total = F.lit(math.log(c["share"]))
