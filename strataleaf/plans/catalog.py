@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataleaf.functions import grids as G
@@ -10,7 +10,7 @@ from strataleaf.functions import text as T
 from strataleaf.operators import headings, images, page_markdown, pages, render, tables, tree
 from strataleaf.sources import files as S
 from strataleaf.sources import fixtures as X
-from strataleaf.sources import html
+from strataleaf.sources import html, markdown, office
 from strataleaf.streaming import jobs
 
 QUERIES = {}
@@ -573,3 +573,128 @@ def job_ttl(spark: SparkSession, d: str) -> DataFrame:
 def job_progress(spark: SparkSession, d: str) -> DataFrame:
     """How far jobs have come."""
     return jobs.latest_progress(X.job_events(spark, d)).select("job_id", "event_id", "furthest_page")
+
+
+# --- office files, e-books, Markdown files -----------------------------------------------------
+
+_DOCX = f"""{X.ctes('paragraphs')}, lv AS (SELECT *, trim(text) AS t, CASE lower(style) WHEN 'heading 1' THEN 1 WHEN 'heading 2' THEN 2 WHEN 'heading 3' THEN 3 WHEN 'heading 4' THEN 4 WHEN 'subtitle' THEN 2 END AS l,
+ (1 + coalesce(sum(has_break::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS page FROM paragraphs),
+heads AS (SELECT doc_id, pos, l AS level, t AS title, page FROM lv WHERE l IS NOT NULL AND t <> ''), {_TREE.format(t='heads')}"""
+
+
+@query(f"{_DOCX} SELECT doc_id, id, section_id, depth, node_type, title, page AS page_start FROM nodes")
+def docx_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Section trees of styled paragraphs, with pages."""
+    return office.docx_sections(X.paragraphs(X.doc_lines(spark, d))).select("doc_id", "id", "section_id", "depth", "node_type", "title", "page_start")
+
+
+@query(f"""{_DOCX}, ow AS (SELECT lv.doc_id, lv.pos, lv.t, (SELECT max(h.pos) FROM heads h WHERE h.doc_id = lv.doc_id AND h.pos <= lv.pos) AS owner FROM lv WHERE NOT (l IS NOT NULL AND t <> '') AND t <> ''),
+bt AS (SELECT doc_id, owner AS pos, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS text FROM ow WHERE owner IS NOT NULL GROUP BY 1, 2) SELECT n.doc_id, n.id, coalesce(text, '') AS text FROM nodes n LEFT JOIN bt USING (doc_id, pos)""")
+def docx_section_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of those sections."""
+    return office.docx_sections(X.paragraphs(X.doc_lines(spark, d))).select("doc_id", "id", "text")
+
+
+@query(f"""{X.ctes('shapes')}, s AS (SELECT doc_id, slide, first(trim(text) ORDER BY shape) FILTER (WHERE is_title AND trim(text) <> '') AS t1, first(trim(text) ORDER BY shape) FILTER (WHERE trim(text) <> '') AS t2,
+ string_agg(trim(text), chr(10) || chr(10) ORDER BY shape) FILTER (WHERE NOT is_title AND trim(text) <> '') AS body FROM shapes GROUP BY 1, 2),
+q AS (SELECT doc_id, slide, coalesce(t1, t2) AS t, coalesce(body, '') AS body, coalesce(len(regexp_extract_all(coalesce(t1, t2), '\\S+')), 0) BETWEEN 1 AND 8 AND body IS NULL AS dv FROM s),
+o AS (SELECT *, coalesce(bool_or(dv) OVER (PARTITION BY doc_id ORDER BY slide ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS opened FROM q),
+heads AS (SELECT doc_id, 1 AS pos, 1 AS level, 'deck ' || doc_id AS title, '' AS body FROM (SELECT DISTINCT doc_id FROM shapes) UNION ALL SELECT doc_id, slide + 1, CASE WHEN dv OR NOT opened THEN 2 ELSE 3 END, coalesce(t, 'Slide ' || slide), body FROM o), {_TREE.format(t='heads')}
+SELECT doc_id, id, section_id, title, body AS text FROM nodes""")
+def slide_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of slides, title-only slides as sections."""
+    found = X.shapes(X.doc_lines(spark, d))
+    stems = found.select("doc_id").distinct().select("doc_id", F.concat(F.lit("deck "), F.col("doc_id")).alias("title"))
+    return office.slide_sections(found, stems).select("doc_id", "id", "section_id", "title", "text")
+
+
+@query(f"""WITH raw AS (SELECT page_id, page_id // 5 AS doc_id, (page_id % 5 + 1)::INT AS item, trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS h FROM pages)
+SELECT doc_id, lpad(row_number() OVER (PARTITION BY doc_id ORDER BY item)::VARCHAR, 4, '0') AS id, row_number() OVER (PARTITION BY doc_id ORDER BY item)::VARCHAR AS section_id, {_MD_TITLE} AS title, item AS page_start FROM raw""")
+def book_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of e-books whose items are web pages, five to a book."""
+    items = X.load(spark, d, "pages").select(F.floor(F.col("page_id") / 5).alias("book"), (F.col("page_id") % 5 + 1).cast("int").alias("item"), "html")
+    return html.sections(html.elements(items, "book", "html", "item")).select("doc_id", "id", "section_id", "title", "page_start")
+
+
+@query(f"""{_MD_TREE} SELECT doc_id, pos::INT AS n, title FROM nodes""")
+def markdown_outline_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of Markdown files made of all pages of a conversation."""
+    whole = X.page_markdown(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "md"))), lambda x: x["md"]), "\n\n").alias("md"))
+    nodes = html.sections(markdown.elements(whole))
+    return nodes.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("n"), "title")
+
+
+# --- single steps ------------------------------------------------------------------------------
+
+
+@query(f"""{X.ctes('spans')}, r AS (SELECT doc_id, page, block_index, line_no, text FROM spans) SELECT doc_id, line_no, trim(text) AS text, CASE WHEN line_no % 3 = 0 THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END AS font_size, line_no % 4 = 0 AS is_bold, upper(trim(text)) = trim(text) AND lower(trim(text)) <> trim(text) AS is_caps FROM r""")
+def lines_from_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines put together from two runs each."""
+    text = F.trim("text")
+    half = F.locate(" ", text)
+    first = F.when(half > 0, F.expr("left(trim(text), locate(' ', trim(text)) - 1)")).otherwise(text)
+    rest = F.when(half > 0, F.expr("substring(trim(text), locate(' ', trim(text)) + 1)")).otherwise(F.lit("  "))
+    n = F.col("line_no")
+    runs = _spans(spark, d).select("doc_id", "page", "block_index", n.alias("line_in_block"), F.explode(F.array(F.struct(F.lit(0).alias("k"), first.alias("t")), F.struct(F.lit(1).alias("k"), rest.alias("t")))).alias("r"), n, "x0", "y0", "x1", "y1")
+    runs = runs.select("*", F.col("r.k").alias("run_no"), F.col("r.t").alias("text"), F.when((n % 3 == 0) & (F.col("r.k") == 1), 12.0).otherwise(F.when(n % 3 == 0, 11.0).otherwise(10.0)).alias("font_size"), F.when(n % 4 == 0, "Times-Bold").otherwise("Times").alias("font"), F.lit(0).alias("flags"))
+    out = headings.lines_from_runs(runs)
+    return out.select("doc_id", F.col("line_in_block").alias("line_no"), "text", "font_size", "is_bold", "is_caps")
+
+
+@query(f"""{X.ctes('images', 'words')}, t AS (SELECT doc_id, page, n, x0, y0, x1, y1 FROM images WHERE n % 3 = 0),
+c AS (SELECT t.doc_id, t.page, t.n, string_agg(w.word, ' ' ORDER BY w.word_no, w.word) FILTER (WHERE least(w.y1, t.y0) > greatest(w.y0, greatest(t.y0 - 40.0::DOUBLE, 0))) AS above, string_agg(w.word, ' ' ORDER BY w.word_no, w.word) FILTER (WHERE least(w.y1, t.y1 + 40.0::DOUBLE) > greatest(w.y0, t.y1)) AS below
+ FROM t JOIN words w ON w.doc_id = t.doc_id AND w.page = t.page AND least(w.x1, t.x1) > greatest(w.x0, t.x0) GROUP BY 1, 2, 3)
+SELECT t.doc_id, t.page, t.n AS place, CASE WHEN regexp_matches(coalesce(above, ''), '(?i)figure\\s*\\d+') THEN above WHEN regexp_matches(coalesce(below, ''), '(?i)figure\\s*\\d+') THEN below ELSE '' END AS caption FROM t LEFT JOIN c USING (doc_id, page, n)""")
+def table_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Captions above or below tables; the fixture's captions say Figure, so the words are renamed on the way."""
+    found = X.images(spark, d).where("n % 3 = 0").withColumnRenamed("n", "place")
+    words = X.words(_spans(spark, d)).withColumn("word", F.when(F.col("word") == "Figure", "Table").otherwise(F.col("word")))
+    return tables.captions(found, words).withColumn("caption", F.regexp_replace("caption", r"\bTable\b", "Figure"))
+
+
+@query(f"""{X.ctes('table_grid')}, c AS (SELECT doc_id, list_transform(data, lambda r: list_transform(r, lambda x: replace(trim(regexp_replace(x, ' {{2,}}', ' ', 'g')), '|', '\\|'))) AS rows FROM table_grid WHERE doc_id % 4 = 1)
+SELECT doc_id, 1 AS page, 'p1_t1' AS table_id, 7 AS pos, array_to_string(rows[1], '~') AS headers, len(rows) - 1 AS n_rows, array_to_string(flatten(rows[2:9]), '~') AS preview, CASE WHEN len(rows) > 9 THEN '… ' || (len(rows) - 9) || ' more rows' ELSE '' END AS note FROM c""")
+def table_attachment(spark: SparkSession, d: str) -> DataFrame:
+    """Tables with identifiers, sections and previews."""
+    grids = X.table_grid(spark, d).where("doc_id % 4 = 1").select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("place"), "data")
+    deepest = grids.select("doc_id", "page", F.lit(7).alias("pos"))
+    rows = render.table_preview(tables.attach(grids, deepest))
+    return rows.select("doc_id", "page", "table_id", "pos", F.array_join("headers", "~").alias("headers"), F.size("rows").cast("long").alias("n_rows"), F.array_join(F.flatten("preview"), "~").alias("preview"), "note")
+
+
+@query(f"{X.ctes('toc_totals')}, c AS (SELECT doc_id, count(*) AS n FROM toc GROUP BY 1) SELECT doc_id, n >= 2 AS has_outline FROM toc_totals JOIN c USING (doc_id)")
+def outline_usability(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with enough outline entries."""
+    entries = X.toc(spark, d)
+    return S.usable_outlines(entries.select("doc_id").distinct(), entries)
+
+
+@query(f"""{X.ctes('page_text')}, {_RUNNING}, t AS (SELECT doc_id, max(page) AS total_pages FROM page_text GROUP BY 1 HAVING max(page) <= 2) SELECT doc_id, 'doc' || doc_id AS title, total_pages AS page_end, 0.6::DOUBLE AS confidence FROM t""")
+def single_node_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """One node for each short document."""
+    found = X.page_text(X.doc_lines(spark, d))
+    docs = found.groupBy("doc_id").agg(F.max("page").alias("total_pages")).where("total_pages <= 2").withColumn("title", F.concat(F.lit("doc"), F.col("doc_id")))
+    return pages.single_nodes(docs, found, pages.running_lines(found)).select("doc_id", "title", "page_end", "confidence")
+
+
+@query("""SELECT item_id, text || chr(10) || chr(10) || '{{IMG:f.png|L|}}' || chr(10) || chr(10) AS text FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark)""")
+def marker_insertion(spark: SparkSession, d: str) -> DataFrame:
+    """Markers put after the paragraph that their anchor ends."""
+    rows = X.load(spark, d, "benchmark").select(F.lit(1).alias("doc_id"), F.col("item_id").alias("pos"), T.collapse(F.col("text")).alias("text"))
+    figures = rows.select("doc_id", "pos", F.lit(1).alias("n"), F.col("text").alias("anchor"), F.lit("f.png").alias("filename"), F.lit("L").alias("label"), F.lit("").alias("caption"))
+    return images.insert_markers(rows, figures).select(F.col("pos").alias("item_id"), "text")
+
+
+@query(f"{X.ctes('spans')} SELECT doc_id, line_no, regexp_extract(text, '^\\s*([0-9]+(\\.[0-9]+)*)', 1) AS section_id FROM spans WHERE line_no % 5 = 0")
+def heading_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Section numbers that headings start with."""
+    return _spans(spark, d).where("line_no % 5 = 0").select("doc_id", "line_no", render.section_of_heading(F.col("text")).alias("section_id"))
+
+
+@query(f"{X.ctes('files')} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '/asset/j' || doc_id || '/assets/' || doc_id ELSE 'other/' || doc_id END AS url, doc_id % 3 <> 0 AS inside FROM files")
+def asset_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Asset addresses, and whether paths stay in their folder."""
+    key = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("assets/"), key)).otherwise(F.concat(F.lit("other/"), key))
+    climbing = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a/../../"), key)).otherwise(F.concat(F.lit("a/../b/"), key))
+    return X.files(spark, d).select("doc_id", S.asset_url(F.concat(F.lit("j"), key), path).alias("url"), S.is_inside(climbing).alias("inside"))

@@ -167,3 +167,27 @@ def ctes(*names: str) -> str:
     for n in names:
         add(n)
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """office.PARAGRAPHS from doc_lines: every seventh line a heading of some level, a page break every ninth."""
+    n = F.col("line_no")
+    style = F.when(n % 7 == 0, F.concat(F.lit("Heading "), (1 + n % 4).cast("string"))).when(n % 11 == 0, "Subtitle").otherwise("Normal")
+    return lines.select("doc_id", n.cast("int").alias("pos"), style.alias("style"), F.col("line").alias("text"), (n % 9 == 8).alias("has_break"))
+
+
+def shapes(lines: DataFrame) -> DataFrame:
+    """office.SHAPES from doc_lines: four lines a slide, the first one a title on most slides."""
+    n = F.col("line_no")
+    slide, shape = F.floor(n / 4) + 1, n % 4
+    title = F.when(slide % 5 == 2, "").otherwise(F.substring("line", 1, 30))
+    text = F.when(shape == 0, title).when(slide % 3 == 0, "").otherwise(F.col("line"))
+    return lines.select("doc_id", slide.cast("int").alias("slide"), shape.cast("int").alias("shape"), ((shape == 0) & (slide % 4 != 3)).alias("is_title"), text.alias("text"))
+
+
+SQL |= {
+    "paragraphs": "SELECT doc_id, line_no::INT AS pos, CASE WHEN line_no % 7 = 0 THEN 'Heading ' || (1 + line_no % 4) WHEN line_no % 11 = 0 THEN 'Subtitle' ELSE 'Normal' END AS style, line AS text, line_no % 9 = 8 AS has_break FROM doc_lines",
+    "shapes": """SELECT doc_id, (line_no // 4 + 1)::INT AS slide, (line_no % 4)::INT AS shape, line_no % 4 = 0 AND (line_no // 4 + 1) % 4 <> 3 AS is_title,
+ CASE WHEN line_no % 4 = 0 THEN (CASE WHEN (line_no // 4 + 1) % 5 = 2 THEN '' ELSE substr(line, 1, 30) END) WHEN (line_no // 4 + 1) % 3 = 0 THEN '' ELSE line END AS text FROM doc_lines""",
+}
+NEEDS |= {"paragraphs": ["doc_lines"], "shapes": ["doc_lines"]}
