@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strataleaf.functions import text as T
+from strataleaf.functions.binding import let
 
 MIN_ROWS, MIN_COLS, MAX_COLS = 2, 2, 20
 MAX_EMPTY_RATIO, MIN_CELL_LENGTH, MAX_FRAGMENT_RATIO = 0.70, 3, 0.35
@@ -50,7 +51,9 @@ def has_split_words(grid: Column) -> Column:
     rows = F.slice(F.filter(grid, lambda r: F.exists(r, lambda c: c != "")), 1, 10)
 
     def is_split(row: Column) -> Column:
-        own = F.filter(row, lambda c: c != "")
+        return let(F.filter(row, lambda c: c != ""), neighbours)
+
+    def neighbours(own: Column) -> Column:
         a = F.transform(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), T.rstrip)
         b = F.transform(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), T.lstrip)
         last = lambda x: F.length(F.element_at(T.words(x), -1))
@@ -91,12 +94,14 @@ def passes_quality(grid: Column, x0: Column, x1: Column, page_width: Column, met
 
 def cleaned(grid: Column) -> Column:
     """Clean cells, no empty rows, every row as wide as the header; null if nothing is left."""
-    rows = F.filter(F.transform(grid, lambda r: F.transform(r, T.clean_cell)), lambda r: F.exists(r, lambda c: c != ""))
-    n = F.size(F.get(rows, F.lit(0)))
-    padded = F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), n)), F.lit(1), n))
-    head = F.slice(padded, 1, 1)
-    body = F.filter(F.slice(padded, F.lit(2), F.greatest(F.size(padded) - 1, F.lit(0))), lambda r: F.exists(r, lambda c: c != ""))
-    return F.when((F.size(rows) > 0) & (n > 0), F.concat(head, body))
+
+    def even(rows: Column) -> Column:
+        return let(F.size(F.get(rows, F.lit(0))), lambda n: F.when((F.size(rows) > 0) & (n > 0), whole(F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), n)), F.lit(1), n)))))
+
+    def whole(padded: Column) -> Column:
+        return let(padded, lambda rows: F.filter(rows, lambda r, i: (i == 0) | F.exists(r, lambda c: c != "")))
+
+    return let(F.filter(F.transform(grid, lambda r: F.transform(r, T.clean_cell)), lambda r: F.exists(r, lambda c: c != "")), even)
 
 
 def widths(rows: Column) -> Column:
@@ -104,12 +109,16 @@ def widths(rows: Column) -> Column:
     return F.transform(F.get(rows, F.lit(0)), lambda _, i: F.greatest(F.lit(3), F.array_max(F.transform(rows, lambda r: F.length(F.get(r, i))))))
 
 
-def markdown(rows: Column, width: Column) -> Column:
+def markdown(rows: Column) -> Column:
     """Rows of equal length as a pipe table with aligned columns."""
     line = lambda cs: F.concat(F.lit("| "), F.array_join(cs, " | "), F.lit(" |"))
-    body = F.transform(rows, lambda r: line(F.zip_with(r, width, lambda c, w: F.rpad(c, w, F.lit(" ")))))
-    rule = line(F.transform(width, lambda w: F.repeat(F.lit("-"), w)))
-    return F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))), "\n")
+
+    def with_widths(w: Column) -> Column:
+        body = F.transform(rows, lambda r: line(F.zip_with(r, w, lambda c, n: F.rpad(c, n, F.lit(" ")))))
+        rule = line(F.transform(w, lambda n: F.repeat(F.lit("-"), n)))
+        return let(body, lambda b: F.array_join(F.concat(F.slice(b, 1, 1), F.array(rule), F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0)))), "\n"))
+
+    return let(widths(rows), with_widths)
 
 
 def split_row(line: Column) -> Column:
@@ -124,7 +133,9 @@ def is_valid_page_table(headers: Column, rows: Column) -> Column:
     head_length = F.aggregate(named, F.lit(0), lambda a, h: a + F.length(h)).cast("double") / F.greatest(F.size(named), F.lit(1))
 
     def splits(row: Column) -> Column:
-        own = F.filter(row, lambda c: T.strip(c) != "")
+        return let(F.filter(row, lambda c: T.strip(c) != ""), pairs_of)
+
+    def pairs_of(own: Column) -> Column:
         n = F.greatest(F.size(own) - 1, F.lit(0))
         pairs = F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, F.lit(2), n), lambda a, b: T.ends_alpha(a) & T.starts_lower(b))
         return F.size(F.filter(pairs, lambda x: x))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strataleaf.functions.binding import let
+
 # White space as Python's str methods see it, as the body of a Java regex class.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -59,8 +61,7 @@ def collapse(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of words between white space."""
-    clean = collapse(c)
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))
+    return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
 
 
 def words(c: Column) -> Column:
@@ -147,16 +148,19 @@ def logical_page(text: Column) -> Column:
 
 def document_type(md: Column) -> Column:
     """legal, academic, financial, technical, form or general, by the words of the first page."""
-    low = F.lower(md)
-    score = {k: sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0)) for k, ws in KEYWORDS.items()}
-    score["legal"] += md.rlike(r"\b[A-Z]{2,8}\s+\d+\.\d+").cast("int")
-    score["academic"] += md.rlike(r"\[\d+(?:,\s*\d+)*\]").cast("int")
-    score["financial"] += md.rlike("[$£€¥]").cast("int")
-    score["technical"] += F.contains(md, F.lit("```")).cast("int") + (F.contains(low, F.lit("> **warning:**")) | F.contains(low, F.lit("> **note:**"))).cast("int")
-    out = F.when(score["legal"] >= LEAST_KEYWORDS["legal"], "legal")
-    for k in ("academic", "financial", "technical", "form"):
-        out = out.when(score[k] >= LEAST_KEYWORDS[k], k)
-    return out.otherwise("general")
+
+    def typed(low: Column) -> Column:
+        score = {k: sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0)) for k, ws in KEYWORDS.items()}
+        score["legal"] += md.rlike(r"\b[A-Z]{2,8}\s+\d+\.\d+").cast("int")
+        score["academic"] += md.rlike(r"\[\d+(?:,\s*\d+)*\]").cast("int")
+        score["financial"] += md.rlike("[$£€¥]").cast("int")
+        score["technical"] += F.contains(md, F.lit("```")).cast("int") + (F.contains(low, F.lit("> **warning:**")) | F.contains(low, F.lit("> **note:**"))).cast("int")
+        out = F.when(score["legal"] >= LEAST_KEYWORDS["legal"], "legal")
+        for k in ("academic", "financial", "technical", "form"):
+            out = out.when(score[k] >= LEAST_KEYWORDS[k], k)
+        return out.otherwise("general")
+
+    return let(F.lower(md), typed)
 
 
 def preserve_indentation(c: Column) -> Column:

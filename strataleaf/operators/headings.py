@@ -43,31 +43,28 @@ def features(spans: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page").orderBy("line_no")
     above = F.lag("y1").over(w)
     return (
-        spans.withColumn("word_count", T.word_count(F.col("text")))
-        .withColumn("space_above", F.when(above.isNull() | (above == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("y0") - above)))
+        spans.withColumn("space_above", F.when(above.isNull() | (above == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("y0") - above)))
+        .withColumn("word_count", T.word_count(F.col("text")))
         .withColumn("numbering", T.numbering(F.col("text")))
         .withColumn("has_numbering", F.col("numbering") != "")
     )
 
 
-def columns_of_pages(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, n_columns): two where long lines lie left and right and hardly in between."""
+def with_columns(spans: DataFrame) -> DataFrame:
+    """Adds column: 0 or 1, and -1 for lines across both columns of a page.
+
+    A page has two columns where long lines lie left and right and hardly in between.
+    """
     width = F.coalesce("page_width", F.lit(DEFAULT_WIDTH))
     centre = (F.col("x0") + F.col("x1")) / 2
     long = F.col("word_count") > 3
-    stats = spans.groupBy("doc_id", "page").agg(F.count_if(long).alias("n"), F.count_if(long & (centre < width * 0.45)).alias("left"), F.count_if(long & (centre > width * 0.55)).alias("right"))
-    middle = F.col("n") - F.col("left") - F.col("right")
-    two = (F.col("n") >= 20) & (middle < 0.1 * F.col("n")) & (F.col("left") > 10) & (F.col("right") > 10)
-    return stats.select("doc_id", "page", F.when(two, 2).otherwise(1).alias("n_columns"))
-
-
-def with_columns(spans: DataFrame) -> DataFrame:
-    """Adds column: 0 or 1, and -1 for lines across both columns of a page."""
-    width = F.coalesce("page_width", F.lit(DEFAULT_WIDTH))
+    page = Window.partitionBy("doc_id", "page")
+    n, left, right = F.count_if(long).over(page), F.count_if(long & (centre < width * 0.45)).over(page), F.count_if(long & (centre > width * 0.55)).over(page)
+    counted = spans.select("*", n.alias("_n"), left.alias("_l"), right.alias("_r"))
+    two = (F.col("_n") >= 20) & (F.col("_n") - F.col("_l") - F.col("_r") < 0.1 * F.col("_n")) & (F.col("_l") > 10) & (F.col("_r") > 10)
     across = (F.col("x1") - F.col("x0")) > width * 0.65
-    left = (F.col("x0") < width * 0.08) | ((F.col("x0") + F.col("x1")) / 2 < width * 0.52)
-    column = F.when(F.col("n_columns") < 2, 0).when(across, -1).when(left, 0).otherwise(1)
-    return spans.join(columns_of_pages(spans), ["doc_id", "page"]).withColumn("column", column).drop("n_columns")
+    in_left = (F.col("x0") < width * 0.08) | (centre < width * 0.52)
+    return counted.withColumn("column", F.when(~two, 0).when(across, -1).when(in_left, 0).otherwise(1)).drop("_n", "_l", "_r")
 
 
 def with_scores(spans: DataFrame) -> DataFrame:
@@ -76,10 +73,9 @@ def with_scores(spans: DataFrame) -> DataFrame:
     Medians are exact, over positive values. The score is a sum of doubles in a fixed order:
     some sums lie a rounding error beside the thresholds.
     """
-    medians = spans.groupBy("doc_id").agg(
-        F.coalesce(F.median(F.when(F.col("font_size") > 0, F.col("font_size"))), F.lit(DEFAULT_FONT_SIZE)).alias("median_size"),
-        F.coalesce(F.median(F.when(F.col("line_height") > 0, F.col("line_height"))), F.lit(DEFAULT_LINE_HEIGHT)).alias("median_height"),
-    )
+    doc = Window.partitionBy("doc_id")
+    positive = lambda c, default: F.coalesce(F.median(F.when(F.col(c) > 0, F.col(c))).over(doc), F.lit(default))
+    spans = spans.withColumns({"median_size": positive("font_size", DEFAULT_FONT_SIZE), "median_height": positive("line_height", DEFAULT_LINE_HEIGHT)})
     add = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
     score = (
         F.lit(0.0)
@@ -90,34 +86,45 @@ def with_scores(spans: DataFrame) -> DataFrame:
         + add(F.col("space_above") > F.col("median_height"), 0.15)
         + add(F.col("has_numbering"), 0.2)
     )
-    return spans.join(medians, "doc_id").withColumn("heading_score", F.least(score, F.lit(1.0)))
+    return spans.withColumn("heading_score", F.least(score, F.lit(1.0)))
 
 
-def candidates(spans: DataFrame, config: StructureConfig = StructureConfig()) -> DataFrame:  # noqa: B008
-    """Scored lines that pass the filters, with level."""
+def marked(spans: DataFrame, config: StructureConfig = StructureConfig()) -> DataFrame:  # noqa: B008
+    """Scored lines with level, which is null for lines that the filters take for body text.
+
+    Everything a filter or a level needs of the rest of the document comes from windows over
+    it, so lines meet in no join.
+    """
+    doc = Window.partitionBy("doc_id")
     text = T.strip(F.col("text"))
     numbered = F.col("has_numbering") & (F.col("heading_score") >= config.heading_threshold)
     # The first numbered heading's place is compared without regard to its page.
-    first = spans.where(numbered).groupBy("doc_id").agg(F.min_by("y0", F.struct("page", "line_no")).alias("_first_y"))
+    first = F.min(F.when(numbered, F.struct("page", "line_no", "y0"))).over(doc)["y0"]
     width = F.coalesce("page_width", F.lit(DEFAULT_WIDTH))
     height = F.coalesce("page_height", F.lit(DEFAULT_HEIGHT))
     centred = F.abs((F.col("x0") + F.col("x1")) / 2 - width / 2) < width * 0.15
     title_area = (F.col("page") == config.metadata_zone_page) & ~F.col("has_numbering") & centred & (F.col("y0") < height * config.metadata_zone_fraction) & F.coalesce(F.col("y0") < F.col("_first_y"), F.lit(False))
-    kept = (
-        spans.where(~F.contains(text, F.lit("@")) & ~text.rlike(r"^(http|www\.|doi:)") & (F.length(text) > 2))
-        .where((F.col("word_count") >= config.min_heading_word_count) & (F.col("word_count") <= config.max_heading_words))
-        .where(~T.is_rule_identifier(text))
-        .where(F.col("heading_score") >= F.when(F.col("has_numbering"), config.heading_threshold).otherwise(config.unnumbered_heading_threshold))
-        .join(first, "doc_id", "left")
-        .where(~title_area)
-        .drop("_first_y")
+    passes = (
+        (F.col("heading_score") >= F.when(F.col("has_numbering"), config.heading_threshold).otherwise(config.unnumbered_heading_threshold))
+        & F.col("word_count").between(config.min_heading_word_count, config.max_heading_words)
+        & ~F.contains(text, F.lit("@"))
+        & ~text.rlike(r"^(http|www\.|doi:)")
+        & (F.length(text) > 2)
+        & ~T.is_rule_identifier(text)
+        & ~title_area
     )
-    style = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.col("font_size").desc(), F.col("is_bold").desc()))
-    parts = T.numbering_parts(F.col("numbering"))
-    ranked = kept.withColumn("_style", F.least(style, F.lit(MAX_LEVEL)))
-    level = F.when(F.col("has_numbering") & parts.isNotNull(), F.least(F.size(parts), F.lit(MAX_LEVEL))).otherwise(F.col("_style"))
+    judged = spans.withColumn("_first_y", first).withColumn("_kept", passes).drop("_first_y")
+    style = F.dense_rank().over(Window.partitionBy("doc_id", "_kept").orderBy(F.col("font_size").desc(), F.col("is_bold").desc()))
+    parts = F.size(T.numbering_parts(F.col("numbering")))
+    ranked = judged.withColumn("_style", F.least(style, F.lit(MAX_LEVEL))).withColumn("_parts", F.when(F.col("_kept") & F.col("has_numbering"), parts))
+    level = F.when(F.col("_parts") >= 0, F.least("_parts", F.lit(MAX_LEVEL))).otherwise(F.col("_style"))
     small = (F.col("word_count") == 1) & ~F.col("has_numbering") & (F.col("font_size") <= F.col("median_size") * 1.25)
-    return ranked.withColumn("level", F.when(small, F.greatest(level, F.lit(3))).otherwise(level)).drop("_style")
+    return ranked.withColumn("level", F.when(F.col("_kept"), F.when(small, F.greatest(level, F.lit(3))).otherwise(level))).drop("_style", "_parts", "_kept")
+
+
+def candidates(spans: DataFrame, config: StructureConfig = StructureConfig()) -> DataFrame:  # noqa: B008
+    """Scored lines that pass the filters, with level."""
+    return marked(spans, config).where("level IS NOT NULL")
 
 
 def prepared(spans: DataFrame) -> DataFrame:
@@ -135,22 +142,33 @@ def heads(found: DataFrame, least: int = 2) -> DataFrame:
 
 def tree_of(found: DataFrame) -> DataFrame:
     """Section tree of candidates, with phantoms for skipped levels and resolved page ranges."""
-    built = tree.build(heads(found), phantoms=True)
-    return tree.resolve_pages(built)
+    built = tree.build(heads(found), phantoms=True, levels=MAX_LEVEL)
+    return tree.resolve_pages(built, MAX_LEVEL)
+
+
+def with_heads(lines: DataFrame, least: int = 2) -> DataFrame:
+    """Marked lines with pos, the number of the heading that a line is; null for body lines, and in documents with fewer than ``least`` headings."""
+    is_head = F.col("level").isNotNull()
+    upto = Window.partitionBy("doc_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.count_if(is_head).over(Window.partitionBy("doc_id"))
+    return lines.select("*", F.count_if(is_head).over(upto).cast("int").alias("_k"), n.alias("_n")).withColumn("pos", F.when(is_head & (F.col("_n") >= least), F.col("_k"))).drop("_k", "_n")
 
 
-def body_owners(spans: DataFrame, headings: DataFrame) -> DataFrame:
-    """Body lines with the pos of the heading above them in their column (headings: as of heads()).
+def body_owners(lines: DataFrame) -> DataFrame:
+    """Body lines with the pos of the heading above them in their column (lines: as of with_heads()).
 
-    An as-of join by union: anchors and lines of a document are sorted by page, column and
-    height, and a line takes the last anchor before it. Lines above all headings are dropped.
+    An as-of join in one pass: a heading stands at its bottom, in both columns if it goes
+    across, and a line at its top; sorted by page, column and height, a line takes the last
+    heading before it. Lines above all headings are dropped.
     """
-    sides = F.when(F.col("column") == -1, F.array(F.lit(0), F.lit(1))).otherwise(F.array("column"))
-    anchors = headings.select("doc_id", "page", F.explode(sides).alias("col"), F.col("y1").alias("y"), F.lit(0).alias("kind"), F.col("pos").alias("owner"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("block_index"), F.lit(None).cast("string").alias("text"))
-    body = spans.join(headings.select("doc_id", "page", "line_no"), ["doc_id", "page", "line_no"], "left_anti")
-    rows = body.select("doc_id", "page", F.greatest("column", F.lit(0)).alias("col"), F.col("y0").alias("y"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("owner"), "line_no", "block_index", "text")
+    event = lambda col, y, kind, owner: F.struct(col.alias("col"), y.alias("y"), F.lit(kind).alias("kind"), owner.alias("owner"))
+    none = F.lit(None).cast("int")
+    at = lambda c: event(c, F.col("y1"), 0, F.col("pos"))
+    body = F.array(event(F.greatest("column", F.lit(0)), F.col("y0"), 1, none))
+    heading = F.when(F.col("column") == -1, F.array(at(F.lit(0)), at(F.lit(1)))).otherwise(F.array(at(F.col("column"))))
+    rows = lines.select("doc_id", "page", "line_no", "block_index", "text", F.explode(F.when(F.col("pos").isNull(), body).otherwise(heading)).alias("e")).select("doc_id", "page", "line_no", "block_index", "text", "e.*")
     w = Window.partitionBy("doc_id").orderBy("page", "col", "y", "kind", F.coalesce("owner", F.lit(0)), "line_no")
-    owned = anchors.unionByName(rows).withColumn("pos", F.last("owner", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    owned = rows.withColumn("pos", F.last("owner", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return owned.where("kind = 1 AND pos IS NOT NULL").select("doc_id", "pos", "page", "col", "y", "line_no", "block_index", "text")
 
 

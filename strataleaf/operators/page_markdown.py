@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strataleaf.functions import grids as G
 from strataleaf.functions import text as T
+from strataleaf.functions.binding import let
 from strataleaf.operators import tree
 
 BLANK, CONTINUATION = "[BLANK PAGE]", "[CONTINUATION]"
@@ -28,29 +29,29 @@ def _has_link(c: Column) -> Column:
 
 def clean(md: Column) -> Column:
     """A page without code fences around it, running lines, surplus blank lines and false headings."""
-    text = T.strip(md)
-    newline = F.position(F.lit("\n"), text)
-    text = F.when(~F.startswith(text, F.lit("```")), text).when(newline > 0, F.substring(text, newline + 1, F.length(text))).otherwise(F.lit(""))
-    text = T.strip(text)
-    text = T.strip(F.when(F.endswith(text, F.lit("```")), F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text))
-
-    def dropped(line: Column) -> Column:
-        s = T.strip(line)
+
+    def unfenced(text: Column) -> Column:
+        newline = F.position(F.lit("\n"), text)
+        opened = F.when(~F.startswith(text, F.lit("```")), text).when(newline > 0, F.substring(text, newline + 1, F.length(text))).otherwise(F.lit(""))
+        return let(T.strip(opened), lambda t: F.when(F.endswith(t, F.lit("```")), T.strip(F.substring(t, F.lit(1), F.length(t) - 3))).otherwise(t))
+
+    def dropped(s: Column) -> Column:
         number = s.rlike(r"^-?\s*\d{1,4}\s*-?$") | s.rlike(T.PAGE_OF)
         return (F.length(s) <= 120) & (_has_link(s) | s.rlike(T.MONTH_YEAR) | number | (s.rlike(r"(?i)^[ivxlcdm]+$") & (F.length(s) <= 8)))
 
-    text = T.squeeze_blank_lines(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~dropped(x)), "\n"))
+    def is_false(content: Column) -> Column:
+        def shouts(ws: Column) -> Column:
+            alphabetic = F.filter(ws, lambda w: w.rlike(r"^\p{L}+$"))
+            return (F.size(ws) <= 3) & (F.size(alphabetic) > 0) & ~F.exists(alphabetic, lambda w: F.length(w) > 6)
+
+        return _has_link(content) | content.rlike(T.MONTH_YEAR) | content.rlike(r"^-?\s*\d{1,4}\s*-?$") | (T.is_upper(content) & let(T.words(content), shouts))
 
     def demoted(line: Column) -> Column:
-        s = T.strip(line)
-        content = T.strip(F.regexp_replace(s, r"^#+", ""))
-        ws = T.words(content)
-        alphabetic = F.filter(ws, lambda w: w.rlike(r"^\p{L}+$"))
-        shout = (F.size(ws) <= 3) & (F.size(alphabetic) > 0) & ~F.exists(alphabetic, lambda w: F.length(w) > 6) & T.is_upper(content)
-        false = _has_link(content) | content.rlike(T.MONTH_YEAR) | content.rlike(r"^-?\s*\d{1,4}\s*-?$") | shout
-        return F.when(F.startswith(s, F.lit("#")) & false, content).otherwise(line)
+        plain = let(T.strip(F.regexp_replace(T.strip(line), r"^#+", "")), lambda content: F.when(is_false(content), content).otherwise(line))
+        return F.when(F.startswith(T.lstrip(line), F.lit("#")), plain).otherwise(line)
 
-    return T.strip(F.array_join(F.transform(F.split(text, "\n"), demoted), "\n"))
+    kept = F.filter(F.split(let(T.strip(md), unfenced), "\n"), lambda x: ~let(T.strip(x), dropped))
+    return T.strip(F.array_join(F.transform(F.split(T.squeeze_blank_lines(F.array_join(kept, "\n")), "\n"), demoted), "\n"))
 
 
 def continues(md: Column, tail: Column) -> Column:
@@ -92,8 +93,13 @@ def _lines(pages: DataFrame) -> DataFrame:
 
 
 def tables(pages: DataFrame) -> DataFrame:
+    """Pipe tables of pages: see _tables."""
+    return _tables(_lines(pages))
+
+
+def _tables(lines: DataFrame) -> DataFrame:
     """Pipe tables: (doc_id, page_num, table_start, seq, table_id, headers, rows, markdown, is_valid). Invalid ones use up a number too."""
-    inside = _lines(pages).where("table_start IS NOT NULL")
+    inside = lines.where("table_start IS NOT NULL")
     grouped = inside.groupBy("doc_id", "page_num", "table_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
     w = Window.partitionBy("doc_id", "page_num").orderBy("table_start")
     out = grouped.select(
@@ -114,25 +120,35 @@ def _is_blank(md: Column) -> Column:
 
 
 def items(pages: DataFrame) -> DataFrame:
-    """What pages are made of, in order: (doc_id, page_num, line_no, kind, level, text).
+    """What pages are made of, in order: (doc_id, page_num, line_no, kind, level, text, has_heading).
 
-    kind: heading, text, or continuation (a whole page that goes on). Lines of valid tables
-    are left out; rows of invalid ones are prose. Blank pages have no item.
+    kind: heading, text, continuation (a whole page that goes on), table (a valid one, before
+    the lines of its page) or page (its Markdown as it stands). Lines of valid tables are left
+    out; rows of invalid ones are prose. Blank pages have no other item than the page.
     """
     full = pages.where(~_is_blank(F.col("md")))
     lines = _lines(full)
-    valid = tables(full).select("doc_id", "page_num", "table_start", "is_valid")
+    valid = _tables(lines).select("doc_id", "page_num", "table_start", "is_valid")
     joined = lines.join(valid, ["doc_id", "page_num", "table_start"], "left")
+    is_table = F.col("is_valid") & (F.col("line_no") == F.col("table_start"))
     prose = F.array_join(F.filter(G.split_row(F.col("line")), lambda c: c != ""), " ")
-    spoken = joined.where("is_valid IS NULL OR (NOT is_valid AND line_no <> table_start + 1)").withColumn("line", F.when(F.col("is_valid").isNull(), F.col("line")).otherwise(prose)).where("is_valid IS NULL OR line <> ''")
-    level = F.length(F.regexp_extract("line", HEADING, 1))
-    spoken = spoken.select("doc_id", "page_num", "line_no", F.when(level > 0, level).alias("level"), F.when(level > 0, T.strip(F.regexp_extract("line", HEADING, 2))).otherwise(F.col("line")).alias("text"))
+    spoken = F.when(F.col("is_valid").isNull(), F.col("line")).when(~F.col("is_valid") & (F.col("line_no") != F.col("table_start") + 1) & (prose != ""), prose)
+    level = F.length(F.regexp_extract("_t", HEADING, 1))
+    parts = joined.withColumn("_t", spoken).where(F.col("_t").isNotNull() | is_table)
+    parts = parts.select("doc_id", "page_num", F.when(is_table, -1).otherwise(F.col("line_no")).alias("line_no"), F.when(is_table, "table").when(level > 0, "heading").otherwise("text").alias("kind"), F.when(level > 0, level).alias("level"), F.when(level > 0, T.strip(F.regexp_extract("_t", HEADING, 2))).otherwise(F.coalesce("_t", F.lit(""))).alias("text"))
     # A marked page is a continuation if a section is open, that is, if an earlier page has a heading.
-    first = spoken.where("level IS NOT NULL").groupBy("doc_id").agg(F.min("page_num").alias("_first"))
-    marks = full.where(F.startswith(T.lstrip(F.col("md")), F.lit(CONTINUATION))).join(first, "doc_id").where(F.col("page_num") > F.col("_first"))
-    going_on = marks.select("doc_id", "page_num", F.lit(0).alias("line_no"), F.lit("continuation").alias("kind"), F.lit(None).cast("int").alias("level"), F.regexp_replace(F.substring(T.lstrip(F.col("md")), len(CONTINUATION) + 1, 1 << 30), r"^\n+", "").alias("text"))
-    plain = spoken.join(marks.select("doc_id", "page_num"), ["doc_id", "page_num"], "left_anti")
-    return plain.select("doc_id", "page_num", "line_no", F.when(F.col("level").isNotNull(), "heading").otherwise("text").alias("kind"), "level", "text").unionByName(going_on)
+    marked = F.startswith(T.lstrip(F.coalesce("md", F.lit(""))), F.lit(CONTINUATION)) & ~_is_blank(F.col("md"))
+    rest = F.regexp_replace(F.substring(T.lstrip(F.col("md")), len(CONTINUATION) + 1, 1 << 30), r"^\n+", "")
+    whole = F.struct(F.lit("page").alias("kind"), F.col("md").alias("text"))
+    units = pages.select("doc_id", "page_num", F.explode(F.when(marked, F.array(whole, F.struct(F.lit("continuation").alias("kind"), rest.alias("text")))).otherwise(F.array(whole))).alias("u"))
+    units = units.select("doc_id", "page_num", F.lit(0).alias("line_no"), "u.kind", F.lit(None).cast("int").alias("level"), "u.text")
+    every = parts.unionByName(units)
+    whole_doc, one_page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page_num")
+    first = F.min(F.when(F.col("kind") == "heading", F.col("page_num"))).over(whole_doc)
+    every = every.withColumn("_first", first).withColumn("_marked", F.bool_or(F.col("kind") == "continuation").over(one_page))
+    goes_on = F.coalesce(F.col("_marked") & (F.col("page_num") > F.col("_first")), F.lit(False))
+    kept = F.when(F.col("kind").isin("page", "table"), F.lit(True)).when(F.col("kind") == "continuation", goes_on).otherwise(~goes_on)
+    return every.where(kept).withColumn("has_heading", F.col("_first").isNotNull()).drop("_first", "_marked")
 
 
 def sections(pages: DataFrame) -> DataFrame:
@@ -144,28 +160,24 @@ def sections(pages: DataFrame) -> DataFrame:
     every = items(pages)
     order = Window.partitionBy("doc_id").orderBy("page_num", "line_no")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_head = F.col("kind") == "heading"
-    placed = every.withColumn("pos", F.when(F.sum(is_head.cast("int")).over(upto) > 0, F.sum(is_head.cast("int")).over(upto)))
-    # Text is flushed at each heading and before each continuation.
-    placed = placed.withColumn("_part", F.sum((F.col("kind") != "text").cast("int")).over(upto) + F.coalesce((F.lag("kind").over(order) == "continuation").cast("int") * 0, F.lit(0)))
-    owned = placed.where("pos IS NOT NULL")
-    chunks = owned.where(~is_head).groupBy("doc_id", "pos", "_part", (F.col("kind") == "continuation").alias("on")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "line_no", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min(F.struct("page_num", "line_no")).alias("at"))
+    is_head, on = F.col("kind") == "heading", F.col("kind") == "continuation"
+    placed = every.where("has_heading AND kind <> 'page'").withColumn("pos", F.sum(is_head.cast("long")).over(upto))
+    # Text is flushed at each heading and around each continuation.
+    placed = placed.withColumn("_part", F.sum((is_head | on).cast("int")).over(upto))
+    owned = placed.where("pos > 0")
+    chunks = owned.where(F.col("kind").isin("text", "continuation")).groupBy("doc_id", "pos", "_part", on.alias("on")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "line_no", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min(F.struct("page_num", "line_no")).alias("at"))
     chunks = chunks.withColumn("t", F.when(F.col("on"), F.col("t")).otherwise(T.preserve_indentation(F.col("t"))))
 
     def joined(acc: Column, x: Column) -> Column:
-        end = T.rstrip(acc)
-        on = F.when(acc == "", x["t"]).when(end.rlike(r"[).;]$"), F.concat(end, F.lit("\n\n"), x["t"])).otherwise(F.concat(end, F.lit("\n"), T.lstrip(x["t"])))
-        plain = F.when(x["t"] == "", acc).when(acc == "", x["t"]).otherwise(F.concat(acc, F.lit("\n\n"), x["t"]))
-        return F.when(x["on"], on).otherwise(plain)
+        merged = lambda end: F.concat(end, F.when(end.rlike(r"[).;]$"), F.concat(F.lit("\n\n"), x["t"])).otherwise(F.concat(F.lit("\n"), T.lstrip(x["t"]))))
+        return F.when(x["t"] == "", F.when(x["on"] & (acc != ""), let(T.rstrip(acc), merged)).otherwise(acc)).when(acc == "", x["t"]).when(x["on"], let(T.rstrip(acc), merged)).otherwise(F.concat(acc, F.lit("\n\n"), x["t"]))
 
     texts = chunks.groupBy("doc_id", "pos").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("at", "on", "t"))), F.lit(""), joined).alias("text"))
-    nodes = tree.with_identity(tree.with_parents(owned.where(is_head).select("doc_id", "pos", "level", F.col("text").alias("title"), F.col("page_num").alias("page_start"))))
-    nodes = _page_ends(nodes, pages)
-    nodes = nodes.join(texts, ["doc_id", "pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    counts = table_owners(pages, nodes).groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n_tables"))
-    out = nodes.join(counts, ["doc_id", "pos"], "left").withColumn("n_tables", F.coalesce("n_tables", F.lit(0).cast("long")))
+    heads = owned.groupBy("doc_id", "pos").agg(F.max(F.when(is_head, F.struct("level", F.col("text").alias("title"), F.col("page_num").alias("page_start")))).alias("h"), F.count_if(F.col("kind") == "table").alias("n_tables"))
+    nodes = tree.with_identity(tree.with_parents(heads.select("doc_id", "pos", "h.*", "n_tables"), 6), 6)
+    out = _page_ends(nodes, pages).join(texts, ["doc_id", "pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     columns = ["doc_id", "pos", "parent_pos", "level", "id", "section_id", "depth", "node_type", "title", "text", "page_start", "page_end", "n_tables"]
-    bare = pages.join(nodes.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(T.strip(F.col("md")) != "", F.struct("page_num", "md")))), lambda x: x["md"]), "\n\n").alias("text"), F.count(F.lit(1)).cast("int").alias("page_end"))
+    bare = every.where("NOT has_heading AND kind = 'page'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(T.strip(F.col("text")) != "", F.struct("page_num", "text")))), lambda x: x["text"]), "\n\n").alias("text"), F.count(F.lit(1)).cast("int").alias("page_end"))
     fallback = bare.select("doc_id", F.lit(1).cast("long").alias("pos"), F.lit(None).cast("long").alias("parent_pos"), F.lit(1).alias("level"), F.lit("0001").alias("id"), F.lit("1").alias("section_id"), F.lit(1).alias("depth"), F.lit("root").alias("node_type"), F.concat(F.lit("document "), F.col("doc_id")).alias("title"), "text", F.lit(1).cast("int").alias("page_start"), "page_end", F.lit(0).cast("long").alias("n_tables"))
     return out.select(*columns).unionByName(fallback)
 
@@ -174,7 +186,7 @@ def _page_ends(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """A section ends on the last page before the one with the heading that closes it, or on the last page."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     closing = None
-    for k in range(1, tree.LEVELS + 1):
+    for k in range(1, 7):
         nxt = F.min(F.when(F.col("level") <= k, F.struct("pos", "page_start"))).over(w)
         closing = F.when(F.col("level") == k, nxt) if closing is None else closing.when(F.col("level") == k, nxt)
     by_page = Window.partitionBy("doc_id").orderBy("page_num")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataleaf.functions import text as T
-from strataleaf.operators.tree import subtree_end
+from strataleaf.operators.tree import LEVELS, with_ancestors
 
 
 def _optional(df: DataFrame, name: str, default: Column) -> Column:
@@ -112,17 +112,17 @@ def document_json(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def expanded(nodes: DataFrame, mode: str = "default") -> DataFrame:
     """(doc_id, id) of nodes that are open: with children and depth 2 at most (default), all with children, or none."""
-    inner = nodes.join(nodes.where("parent_pos IS NOT NULL").select("doc_id", F.col("parent_pos").alias("pos")).distinct(), ["doc_id", "pos"], "left_semi")
+    deeper = F.lead("level").over(Window.partitionBy("doc_id").orderBy("pos")) > F.col("level")
+    inner = nodes.withColumn("_inner", deeper).where("_inner")
     chosen = {"default": inner.where("depth <= 2"), "all": inner, "none": inner.where("false")}[mode]
     return chosen.select("doc_id", "id")
 
 
-def visible(nodes: DataFrame, open_ids: DataFrame) -> DataFrame:
-    """Nodes all of whose ancestors are open: no closed node's subtree interval holds them."""
-    marked = subtree_end(nodes)
-    closed = marked.join(open_ids, ["doc_id", "id"], "left_anti").where("end_pos > pos").select(F.col("doc_id").alias("c_doc"), F.col("pos").alias("c_pos"), F.col("end_pos").alias("c_end"))
-    hidden = (F.col("doc_id") == F.col("c_doc")) & (F.col("pos") > F.col("c_pos")) & (F.col("pos") <= F.col("c_end"))
-    return marked.join(closed, hidden, "left_anti").drop("end_pos")
+def visible(nodes: DataFrame, open_ids: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Nodes all of whose ancestors are open."""
+    marked = nodes.join(open_ids.select("doc_id", "id", F.lit(True).alias("_open")), ["doc_id", "id"], "left")
+    marked = with_ancestors(marked, F.coalesce("_open", F.lit(False)), "_above", levels)
+    return marked.where(~F.array_contains("_above", False)).drop("_above", "_open")
 
 
 def confidence_band(c: Column) -> Column:

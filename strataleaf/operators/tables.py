@@ -80,7 +80,7 @@ def attach(tables: DataFrame, deepest: DataFrame) -> DataFrame:
     rows = tables.withColumn("_clean", G.cleaned(F.col("data")))
     rows = rows.withColumn("idx", F.row_number().over(w)).withColumn("table_id", F.concat(F.lit("p"), F.col("page"), F.lit("_t"), F.col("idx")))
     rows = rows.withColumn("headers", F.get("_clean", F.lit(0))).withColumn("rows", F.slice(F.col("_clean"), F.lit(2), F.greatest(F.size("_clean") - 1, F.lit(0))))
-    rows = rows.withColumn("markdown", F.when(F.col("_clean").isNotNull(), G.markdown(F.col("_clean"), G.widths(F.col("_clean")))).otherwise(""))
+    rows = rows.withColumn("markdown", F.when(F.col("_clean").isNotNull(), G.markdown(F.col("_clean"))).otherwise(""))
     return rows.join(deepest, ["doc_id", "page"]).drop("_clean", "data", "empty")
 
 

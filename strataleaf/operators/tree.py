@@ -107,32 +107,42 @@ def subtree_end(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
 def resolve_pages(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """page_end of a node is the largest of its subtree; an inverted leaf ends where it starts.
 
-    Needs page_start and page_end. The subtree's maximum joins the interval back to the nodes.
-    A heading and the phantoms put in for it share one range.
+    Needs page_start and page_end. The subtree of a node of level k is the rows up to the
+    next of level k or less: rows that share the number of such rows before them. So the
+    maximum of each level's subtrees is one window, and no node meets its descendants in a
+    join. A heading and the phantoms put in for it share one range.
     """
-    marked = subtree_end(nodes.withColumn("page_end", F.greatest("page_start", "page_end")), levels)
-    inner = marked.select(F.col("doc_id"), F.col("pos").alias("_p"), F.col("page_end").alias("_e"))
-    outer = marked.select("doc_id", "pos", "end_pos")
-    ends = outer.join(inner, "doc_id").where("_p BETWEEN pos AND end_pos").groupBy("doc_id", "pos").agg(F.max("_e").alias("_max"))
-    out = marked.join(ends, ["doc_id", "pos"]).withColumn("page_end", F.col("_max")).drop("_max", "end_pos")
+    now = nodes.withColumn("page_end", F.greatest("page_start", "page_end"))
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = now.select("*", *[F.count_if(F.col("level") <= k).over(upto).alias(f"_g{k}") for k in range(1, levels + 1)])
+    now = now.select("*", *[F.max("page_end").over(Window.partitionBy("doc_id", f"_g{k}")).alias(f"_m{k}") for k in range(1, levels + 1)])
+    now = now.withColumn("page_end", _by_level(lambda k: F.col(f"_m{k}"), levels)).drop(*[f"_{x}{k}" for x in "gm" for k in range(1, levels + 1)])
     if "origin" in nodes.columns:
-        out = out.withColumn("page_end", F.max("page_end").over(Window.partitionBy("doc_id", "origin")))
-    return out
+        now = now.withColumn("page_end", F.max("page_end").over(Window.partitionBy("doc_id", "origin")))
+    return now
+
+
+def with_ancestors(nodes: DataFrame, field: Column, name: str, levels: int = LEVELS) -> DataFrame:
+    """Adds an array with the field of every node above, from the top down."""
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = nodes.withColumn("_f", field)
+    latest = [F.max(F.when(F.col("level") <= k, F.struct("pos", "level", "_f"))).over(upto) for k in range(1, levels)]
+    now = now.select("*", *[x.alias(f"_l{k}") for k, x in enumerate(latest, 1)])
+    above = F.array(*[F.when((F.col(f"_l{k}.level") == k) & (F.col("level") > k), F.struct(F.col(f"_l{k}._f").alias("f"))) for k in range(1, levels)])
+    out = F.transform(F.filter(above, lambda x: x.isNotNull()), lambda x: x["f"])
+    return now.withColumn(name, out).drop("_f", *[f"_l{k}" for k in range(1, levels)])
 
 
 def clamp_to_parents(nodes: DataFrame) -> DataFrame:
-    """page_end of a node is at most that of every node above it (their minimum over ancestors)."""
-    marked = subtree_end(nodes)
-    above = marked.select("doc_id", F.col("pos").alias("_a"), F.col("end_pos").alias("_ae"), F.col("page_end").alias("_e"))
-    least = marked.select("doc_id", "pos").join(above, "doc_id").where("pos BETWEEN _a AND _ae").groupBy("doc_id", "pos").agg(F.min("_e").alias("_min"))
-    return marked.join(least, ["doc_id", "pos"]).withColumn("page_end", F.col("_min")).drop("_min", "end_pos")
+    """page_end of a node is at most that of every node above it."""
+    marked = with_ancestors(nodes, F.col("page_end"), "_above")
+    return marked.withColumn("page_end", F.least("page_end", F.coalesce(F.array_min("_above"), "page_end"))).drop("_above")
 
 
 def without_phantoms(nodes: DataFrame) -> DataFrame:
     """Drops phantom nodes with their subtrees."""
-    marked = subtree_end(nodes)
-    gone = marked.where("is_phantom").select("doc_id", F.col("pos").alias("_a"), F.col("end_pos").alias("_ae"))
-    return marked.join(gone, (marked["doc_id"] == gone["doc_id"]) & F.col("pos").between(F.col("_a"), F.col("_ae")), "left_anti").drop("end_pos")
+    marked = with_ancestors(nodes, F.col("is_phantom"), "_above")
+    return marked.where(~F.col("is_phantom") & ~F.array_contains("_above", True)).drop("_above")
 
 
 def find(nodes: DataFrame, by: str, value: str) -> DataFrame:

@@ -239,7 +239,7 @@ shared AS (SELECT doc_id, pos, (max(e) OVER (PARTITION BY doc_id, origin))::INT
 @query(f"{_SLOW} SELECT doc_id, pos::INT AS pos, id, section_id, depth, node_type, level, title, is_phantom FROM nodes")
 def phantom_tree(spark: SparkSession, d: str) -> DataFrame:
     """Section trees with phantoms for skipped levels."""
-    return tree.build(headings.heads(headings.candidates(_prepared(spark, d))), phantoms=True).select("doc_id", "pos", "id", "section_id", "depth", "node_type", "level", "title", "is_phantom")
+    return tree.build(headings.heads(headings.candidates(_prepared(spark, d))), phantoms=True, levels=headings.MAX_LEVEL).select("doc_id", "pos", "id", "section_id", "depth", "node_type", "level", "title", "is_phantom")
 
 
 @query(f"{_SLOW}, {_ENDS} SELECT doc_id, id, page AS page_start, page_end FROM nodes JOIN shared USING (doc_id, pos)")
@@ -259,8 +259,7 @@ _BODY = f"{X.ctes('spans')}, {_FEATURES}, {_COLUMNS}, {_SCORED}, {_CANDIDATES},
 @query(f"{_BODY} SELECT doc_id, line_no, pos::INT AS pos FROM owned WHERE pos IS NOT NULL")
 def body_ownership(spark: SparkSession, d: str) -> DataFrame:
     """The heading that each body line belongs to."""
-    lines = _prepared(spark, d)
-    return headings.body_owners(lines, headings.heads(headings.candidates(lines))).select("doc_id", "line_no", "pos")
+    return headings.body_owners(headings.with_heads(headings.marked(_prepared(spark, d)))).select("doc_id", "line_no", "pos")
 
 
 @query(f"""{_BODY}, ch AS (SELECT *, CASE WHEN lag(page) OVER w = page AND lag(block_index) OVER w = block_index THEN 0 ELSE 1 END AS new FROM owned WHERE pos IS NOT NULL WINDOW w AS (PARTITION BY doc_id, pos ORDER BY page, col, y, line_no)),
@@ -269,8 +268,7 @@ p AS (SELECT doc_id, pos, par, string_agg(trim(text), ' ' ORDER BY page, col, y,
 SELECT doc_id, pos::INT AS pos, string_agg(t, chr(10) || chr(10) ORDER BY par) AS text FROM p GROUP BY 1, 2""")
 def body_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Text of sections from body lines."""
-    lines = _prepared(spark, d)
-    return headings.body_texts(headings.body_owners(lines, headings.heads(headings.candidates(lines))))
+    return headings.body_texts(headings.body_owners(headings.with_heads(headings.marked(_prepared(spark, d)))))
 
 
 # --- outlines --------------------------------------------------------------------------------
@@ -330,7 +328,7 @@ def deepest_node(spark: SparkSession, d: str) -> DataFrame:
 def visible_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Sections that a viewer shows at first."""
     nodes = _nodes(spark, d)
-    return render.visible(nodes, render.expanded(nodes)).select("doc_id", "id", "depth")
+    return render.visible(nodes, render.expanded(nodes), levels=3).select("doc_id", "id", "depth")
 
 
 @query(f"{_TOC_TREE} SELECT doc_id, id, title, page_start AS primary_page FROM nodes WHERE section_id = '1.1'")
@@ -362,7 +360,7 @@ def card_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_SLOW}, gone AS (SELECT doc_id, pos, end_pos FROM nodes WHERE is_phantom) SELECT n.doc_id, n.pos::INT AS pos, n.title FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = n.doc_id AND n.pos BETWEEN g.pos AND g.end_pos)")
 def phantom_removal(spark: SparkSession, d: str) -> DataFrame:
     """Section trees without phantoms and what is below them."""
-    nodes = tree.build(headings.heads(headings.candidates(_prepared(spark, d))), phantoms=True)
+    nodes = tree.build(headings.heads(headings.candidates(_prepared(spark, d))), phantoms=True, levels=headings.MAX_LEVEL)
     return tree.without_phantoms(nodes).select("doc_id", "pos", "title")
 
 
@@ -448,7 +446,7 @@ SELECT doc_id, array_to_string(list_concat(ls[1:1], [rule], ls[2:]), chr(10)) AS
 def table_gfm(spark: SparkSession, d: str) -> DataFrame:
     """Tables as aligned pipe tables."""
     rows = X.table_grid(spark, d).select("doc_id", G.cleaned(F.col("data")).alias("rows"))
-    return rows.select("doc_id", G.markdown(F.col("rows"), G.widths(F.col("rows"))).alias("markdown"))
+    return rows.select("doc_id", G.markdown(F.col("rows")).alias("markdown"))
 
 
 _CORNERS = "300.0::DOUBLE - abs(a.x0 - b.x0)"

@@ -15,8 +15,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_no, line) of documents."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, line_no, line) of documents, dealt out by document before they are cut, so that no later window or join on doc_id shuffles lines."""
+    return load(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def spans(spans_of: DataFrame) -> DataFrame:

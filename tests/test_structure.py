@@ -90,9 +90,9 @@ def test_two_columns_with_a_heading_across(spark):
     placed = headings.with_columns(spans)
     columns = {r["line_no"]: r["column"] for r in placed.collect()}
     assert columns[0] == -1 and columns[1] == 0 and columns[2] == 1
-    heads = placed.where("line_no = 0").select("doc_id", F.lit(1).alias("pos"), "page", "line_no", "column", "y1")
-    assert headings.body_owners(placed, heads).count() == 24
-    text = headings.body_texts(headings.body_owners(placed, heads)).first()["text"]
+    owned = headings.body_owners(headings.with_heads(placed.withColumn("level", F.when(F.col("line_no") == 0, 1)), least=1))
+    assert owned.count() == 24
+    text = headings.body_texts(owned).first()["text"]
     assert text.startswith("left body line number 0 left body") and "\n\nright body line number 0 " in text
 
 

@@ -86,7 +86,7 @@ def test_grids(spark):
     def grid(data, c):
         return spark.createDataFrame([(data,)], "g array<array<string>>").select(c(F.col("g")).alias("x")).first()["x"]
 
-    assert grid([["A", "B"], ["x|y", ""], ["", ""], ["only"]], lambda g: G.markdown(G.cleaned(g), G.widths(G.cleaned(g)))) == "| A    | B   |\n| ---- | --- |\n| x\\|y |     |\n| only |     |"
+    assert grid([["A", "B"], ["x|y", ""], ["", ""], ["only"]], lambda g: G.markdown(G.cleaned(g))) == "| A    | B   |\n| ---- | --- |\n| x\\|y |     |\n| only |     |"
     assert grid([], G.empty_ratio) == 1.0
     assert grid([], G.average_cell_length) == 0.0
     assert grid([["Name", "Total"], ["Submiss", "ion here"], ["Ma", "tters"]], G.has_split_words) is True
