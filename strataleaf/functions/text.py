@@ -9,6 +9,8 @@ from strataleaf.functions.binding import let
 
 # White space as Python's str methods see it, as the body of a Java regex class.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as characters: trimming by them looks at a text's ends alone.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Patterns of headings, numbering and running lines.
 NUMBERING = r"(?i)^((?:\d+\.){1,5}\d*\.?\s+|[A-Z]\.\s+|\([a-zA-Z\d]+\)\s+|(?:Chapter|Section|Part|Appendix|Article)\s+[\dA-Z]+)"
@@ -43,15 +45,15 @@ LEAST_KEYWORDS = {"legal": 3, "academic": 2, "financial": 2, "technical": 2, "fo
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -65,8 +67,7 @@ def word_count(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    clean = collapse(c)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.regexp_extract_all(c, F.lit(f"[^{SPACE}]+"), 0)
 
 
 def starts_lower(c: Column) -> Column:
@@ -97,20 +98,23 @@ def numbering(c: Column) -> Column:
 
 def numbering_parts(prefix: Column) -> Column:
     """Numbers of a numbering prefix, or null where it cannot be read."""
-    p = strip(prefix)
     ordinal = lambda t: F.array(F.ascii(F.upper(t)) - 64)
     number = lambda t: F.array(t.cast("int"))
-    word, bracket = F.regexp_extract(p, NUMBERING_KEYWORD, 1), F.regexp_extract(p, r"^\(([a-zA-Z\d]+)\)", 1)
-    dotted = F.regexp_extract(p, r"^((?:\d+\.)+\d*)", 1)
-    parts = F.filter(F.split(F.regexp_replace(dotted, r"^\.+|\.+$", ""), r"\."), lambda x: x.rlike(r"^\d+$"))
-    return (
-        F.when(word.rlike(r"^\d+$"), number(word))
-        .when(word.rlike(r"^[A-Za-z]$"), ordinal(word))
-        .when(dotted != "", F.transform(parts, lambda x: x.cast("int")))
-        .when(p.rlike(r"^[A-Z]\."), ordinal(F.substring(p, 1, 1)))
-        .when(bracket.rlike(r"^\d+$"), number(bracket))
-        .when(bracket.rlike(r"^[A-Za-z]$"), ordinal(bracket))
-    )
+
+    def read(p: Column) -> Column:
+        word, bracket = F.regexp_extract(p, NUMBERING_KEYWORD, 1), F.regexp_extract(p, r"^\(([a-zA-Z\d]+)\)", 1)
+        dotted = F.regexp_extract(p, r"^((?:\d+\.)+\d*)", 1)
+        parts = F.filter(F.split(F.regexp_replace(dotted, r"^\.+|\.+$", ""), r"\."), lambda x: x.rlike(r"^\d+$"))
+        return (
+            F.when(word.rlike(r"^\d+$"), number(word))
+            .when(word.rlike(r"^[A-Za-z]$"), ordinal(word))
+            .when(dotted != "", F.transform(parts, lambda x: x.cast("int")))
+            .when(p.rlike(r"^[A-Z]\."), ordinal(F.substring(p, 1, 1)))
+            .when(bracket.rlike(r"^\d+$"), number(bracket))
+            .when(bracket.rlike(r"^[A-Za-z]$"), ordinal(bracket))
+        )
+
+    return let(strip(prefix), read)
 
 
 def strip_numbering(c: Column) -> Column:
@@ -140,10 +144,10 @@ def squeeze_blank_lines(c: Column) -> Column:
 
 def logical_page(text: Column) -> Column:
     """The printed page number among the first and last three non-empty lines, or null."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    near = F.when(F.size(lines) > 6, F.concat(F.slice(lines, 1, 3), F.slice(lines, -3, 3))).otherwise(lines)
-    found = F.get(F.filter(near, lambda x: x.rlike(r"^\d+$") | x.rlike(ROMAN_PAGE)), F.lit(0))
-    return F.when(found.rlike(r"^\d+$"), found).otherwise(F.lower(found))
+    near = lambda lines: F.when(F.size(lines) > 6, F.concat(F.slice(lines, 1, 3), F.slice(lines, -3, 3))).otherwise(lines)
+    lines = let(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), near)
+    found = F.get(F.filter(lines, lambda x: x.rlike(r"^\d+$") | x.rlike(ROMAN_PAGE)), F.lit(0))
+    return let(found, lambda x: F.when(x.rlike(r"^\d+$"), x).otherwise(F.lower(x)))
 
 
 def document_type(md: Column) -> Column:
@@ -205,15 +209,19 @@ def markers_as_markdown(c: Column) -> Column:
 
 def insert_marker(text: Column, anchor_source: Column, mark: Column) -> Column:
     """Text with the marker after the paragraph that holds the anchor: the last 60 or 40 characters of the block above, or its last word."""
-    source = collapse(F.coalesce(anchor_source, F.lit("")))
-    long = F.length(source) > 20
-    anchors = F.filter(F.array(F.when(long, F.right(source, F.lit(60))), F.when(long, F.right(source, F.lit(40))), F.element_at(F.split(source, " "), -1)), lambda a: a.isNotNull() & (F.length(a) >= 3))
-    hits = F.filter(F.transform(anchors, lambda a: F.position(a, text)), lambda p: p > 0)
-    at = F.get(hits, F.lit(0))
-    gap = F.position(F.lit("\n\n"), text, at)
-    cut = F.when(gap > 0, gap + 1).otherwise(F.length(text))
-    put = F.concat(F.substring(text, F.lit(1), cut), F.lit("\n\n"), mark, F.lit("\n\n"), F.substring(text, cut + 1, F.length(text)))
-    return F.when(at.isNull(), text).otherwise(put)
+
+    def first_hit(source: Column) -> Column:
+        long = F.length(source) > 20
+        anchors = F.array(F.when(long, F.right(source, F.lit(60))), F.when(long, F.right(source, F.lit(40))), F.element_at(F.split(source, " "), -1))
+        usable = F.filter(anchors, lambda a: a.isNotNull() & (F.length(a) >= 3))
+        return F.get(F.filter(F.transform(usable, lambda a: F.position(a, text)), lambda p: p > 0), F.lit(0))
+
+    def put(at: Column) -> Column:
+        gap = F.position(F.lit("\n\n"), text, at)
+        cut = F.when(gap > 0, gap + 1).otherwise(F.length(text))
+        return let(cut, lambda k: F.concat(F.substring(text, F.lit(1), k), F.lit("\n\n"), mark, F.lit("\n\n"), F.substring(text, k + 1, F.length(text))))
+
+    return let(let(collapse(F.coalesce(anchor_source, F.lit(""))), first_hit), lambda at: F.when(at.isNull(), text).otherwise(put(at)))
 
 
 def clean_cell(c: Column) -> Column:

@@ -19,6 +19,8 @@ BLANK, CONTINUATION = "[BLANK PAGE]", "[CONTINUATION]"
 TAIL = 500
 HEADING = r"^(#{1,6})\s+(.+)$"
 TABLE_ROW, TABLE_RULE = r"^\|.+\|$", r"^\|[\s:|-]+\|$"
+#: Where this does not match, no line of a page is a running one.
+MAYBE_RUNNING = r"(?imd)www\.|https?://|^\s*(?:-?\s*\d{1,4}\s*-?|page\s+\d+\s+of\s+\d+|[a-z]+\s+\d{4}|[ivxlcdm]{1,8})\s*$"
 LIST_START = r"^\((\d+|[a-z]{1,3}|[ivxlcdm]{1,6})\)"
 LIST_ITEM = r"\((\d+|[a-z]{1,3}|[ivxlcdm]{1,6})\)"
 
@@ -50,31 +52,47 @@ def clean(md: Column) -> Column:
         plain = let(T.strip(F.regexp_replace(T.strip(line), r"^#+", "")), lambda content: F.when(is_false(content), content).otherwise(line))
         return F.when(F.startswith(T.lstrip(line), F.lit("#")), plain).otherwise(line)
 
-    kept = F.filter(F.split(let(T.strip(md), unfenced), "\n"), lambda x: ~let(T.strip(x), dropped))
-    return T.strip(F.array_join(F.transform(F.split(T.squeeze_blank_lines(F.array_join(kept, "\n")), "\n"), demoted), "\n"))
+    # Most pages have nothing of the kind; one look at the whole text spares them the work by lines.
+    def without_running_lines(text: Column) -> Column:
+        kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~let(T.strip(x), dropped)), "\n")
+        return T.squeeze_blank_lines(F.when(text.rlike(MAYBE_RUNNING), kept).otherwise(text))
+
+    def without_false_headings(text: Column) -> Column:
+        plain = F.array_join(F.transform(F.split(text, "\n"), demoted), "\n")
+        return F.when(text.rlike(f"(?md)^[{T.SPACE}]*#"), plain).otherwise(text)
+
+    return T.strip(let(let(let(T.strip(md), unfenced), without_running_lines), without_false_headings))
 
 
 def continues(md: Column, tail: Column) -> Column:
     """Whether a page goes on where the previous page's tail stopped."""
-    first = F.get(F.filter(F.transform(F.split(md, "\n"), T.strip), lambda x: x != ""), F.lit(0))
-    item = F.regexp_extract(first, LIST_START, 1)
-    before = F.element_at(F.regexp_extract_all(tail, F.lit(LIST_ITEM), 1), -1)
-    has_before = F.size(F.regexp_extract_all(tail, F.lit(LIST_ITEM), 1)) > 0
-    digits = item.rlike(r"^\d+$") & before.rlike(r"^\d+$")
-    next_item = (item != "") & has_before & F.when(digits, item.cast("int") > before.cast("int")).otherwise(~item.rlike(r"^[ai]$") )
-    end = T.rstrip(tail)
-    sentence = T.starts_lower(T.strip(md)) & (end != "") & ~end.rlike(r"[.!?:]$")
-    open_end = end.rlike(r"[;,]$")
-    return F.coalesce((tail != "") & first.isNotNull() & (next_item | sentence | open_end), F.lit(False))
+    first_line = T.rstrip(F.regexp_extract(md, f"([^{T.SPACE}][^\\n]*)", 1))
+
+    def decide(x: Column) -> Column:
+        first, listed, end = x["first"], x["listed"], x["end"]
+        item, before = F.regexp_extract(first, LIST_START, 1), F.element_at(listed, -1)
+        digits = item.rlike(r"^\d+$") & before.rlike(r"^\d+$")
+        next_item = (item != "") & (F.size(listed) > 0) & F.when(digits, item.cast("int") > before.cast("int")).otherwise(~item.rlike(r"^[ai]$"))
+        sentence = T.starts_lower(first) & (end != "") & ~end.rlike(r"[.!?:]$")
+        return F.coalesce((tail != "") & (first != "") & (next_item | sentence | end.rlike(r"[;,]$")), F.lit(False))
+
+    return let(F.struct(first_line.alias("first"), F.regexp_extract_all(tail, F.lit(LIST_ITEM), 1).alias("listed"), T.rstrip(tail).alias("end")), decide)
 
 
 def with_continuations(pages: DataFrame) -> DataFrame:
-    """Cleaned pages, with the marker before those that continue the one before them."""
-    cleaned = pages.withColumn("md", clean(F.col("md")))
+    """Cleaned pages, with the marker before those that continue the one before them.
+
+    Pages are dealt out by document before they are cleaned: the window needs them so anyway,
+    and plans that use the result several times share that exchange.
+    """
+    cleaned = pages.repartition("doc_id").withColumn("md", clean(F.col("md")))
     w = Window.partitionBy("doc_id").orderBy("page_num")
-    tail = F.coalesce(F.lag(F.right("md", F.lit(TAIL))).over(w), F.lit(""))
-    marked = cleaned.withColumn("_tail", tail).withColumn("is_continuation", continues(F.col("md"), F.col("_tail")) & ~F.startswith(F.col("md"), F.lit(CONTINUATION)))
-    return marked.withColumn("md", F.when(F.col("is_continuation"), F.concat(F.lit(CONTINUATION + "\n"), "md")).otherwise(F.col("md"))).drop("_tail")
+    tailed = cleaned.withColumn("_tail", F.coalesce(F.lag(F.right("md", F.lit(TAIL))).over(w), F.lit("")))
+    judged = tailed.withColumn("_on", continues(F.col("md"), F.col("_tail")) & ~F.startswith(F.col("md"), F.lit(CONTINUATION)))
+    # An explosion of one row: later filters on md would otherwise be pushed down as copies of the whole decision.
+    page = F.struct(F.when(F.col("_on"), F.concat(F.lit(CONTINUATION + "\n"), "md")).otherwise(F.col("md")).alias("md"), F.col("_on").alias("is_continuation"))
+    others = [c for c in pages.columns if c != "md"]
+    return judged.select(*others, F.explode(F.array(page)).alias("_p")).select(*others, "_p.md", "_p.is_continuation")
 
 
 def _lines(pages: DataFrame) -> DataFrame:
@@ -157,6 +175,8 @@ def sections(pages: DataFrame) -> DataFrame:
     Text before the first heading is lost, unless a document has no heading: then one node
     holds all pages. Tables of a page belong to the section that is open when it begins.
     """
+    # The plan reads pages several times; behind this exchange they are cleaned and judged once.
+    pages = pages.select("doc_id", "page_num", "md").repartition("doc_id")
     every = items(pages)
     order = Window.partitionBy("doc_id").orderBy("page_num", "line_no")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataleaf.functions import text as T
+from strataleaf.functions.binding import let
 
 SCANNED_PAGES, LEAST_PAGES = 5, 3
 MAX_CHARS = 15_000
@@ -30,7 +31,7 @@ def strip_text(texts: DataFrame, running: DataFrame, keys: list[str]) -> DataFra
     repeated = running.groupBy("doc_id").agg(F.collect_set("line").alias("_running"))
     joined = texts.join(repeated, "doc_id", "left")
     none = F.array().cast("array<string>")
-    kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.array_contains(F.coalesce("_running", none), T.strip(x)) & ~T.is_artefact(T.strip(x)))
+    kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: let(T.strip(x), lambda s: ~F.array_contains(F.coalesce("_running", none), s) & ~T.is_artefact(s)))
     return joined.select(*keys, T.strip(T.squeeze_blank_lines(F.array_join(kept, "\n"))).alias("text"))
 
 
