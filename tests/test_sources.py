@@ -205,8 +205,8 @@ def test_page_model_retries_and_goes_on(spark):
             raise OSError("no answer")
         return f"# {image.decode()}\nafter <{tail[-5:]}>"
 
-    rows = spark.createDataFrame([(1, 2, bytearray(b"bad")), (1, 1, bytearray(b"A")), (1, 3, bytearray(b"C"))], "doc_id long, page_num int, image binary")
+    rows = spark.createDataFrame([(1, 2, bytearray(b"bad")), (1, 1, bytearray(b"Alpha")), (1, 3, bytearray(b"Gamma"))], "doc_id long, page_num int, image binary")
     got = [r["md"] for r in page_model.transcribe(rows, model, pause=0.0).orderBy("page_num").collect()]
-    assert got == ["# A\nafter <>", "[ERROR: Could not process page 2]", "# C\nafter <ge 2]>"]
-    assert [r["title"] for r in page_model.sections(rows, model, pause=0.0).orderBy("pos").collect()] == ["A", "C"]
+    assert got == ["# Alpha\nafter <>", "[ERROR: Could not process page 2]", "# Gamma\nafter <ge 2]>"]
+    assert [r["title"] for r in page_model.sections(rows, model, pause=0.0).orderBy("pos").collect()] == ["Alpha", "Gamma"]
     assert spark.range(1).select(page_model.addendum(F.lit("form")).alias("a"), page_model.addendum(F.lit("x")).alias("b")).first() == (page_model.ADDENDA["form"], "")
