@@ -1,8 +1,10 @@
 """From documents to packed sequences in five stages, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
-the last return the columns of ``documents``. Stages pick rows by a key of their own, drawn
-from the row's place, where ids may repeat; ids of ``documents`` are unique, so it is doc_id.
+the last return the columns of ``documents``, and other columns are dropped. Rows are chosen
+by doc_id, which is unique in ``documents``: a row without an id leaves at the first stage,
+and rows that share an id share every decision. Null and empty texts have no words and leave
+with the quality rules. An empty table passes through every stage as an empty table.
 """
 
 from __future__ import annotations
