@@ -15,7 +15,6 @@ out as falling powers of two, which pads nothing. No text is shuffled.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,24 +89,27 @@ def cuts(at: np.ndarray, price: np.ndarray, size: int, last: bool) -> tuple[list
     """The cheapest cut positions, and their cost. Unless last, they may end before the stream does."""
     ends, prices = [0, *at.tolist()], [0.0, *price.tolist()]
     n, half = len(ends), size // 2
-    best, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque()
-    place = {e: k for k, e in enumerate(ends)}
-    key = [0.0] * n
+    best, key, back = [0.0] * n, [0.0] * n, [0] * n
+    queue, head = [0], 0  # places whose keys rise; those before head are out of reach
+    mid = 0  # the first place that is not before the half-way point
     for j in range(1, n):
-        k = j - 1
-        key[k] = best[k] + ends[k]
-        while queue and key[queue[-1]] >= key[k]:
-            queue.pop()
-        queue.append(k)
         e = ends[j]
-        while ends[queue[0]] < e - size:
-            queue.popleft()
-        i = queue[0]
+        low = e - size
+        while ends[queue[head]] < low:
+            head += 1
+        i = queue[head]
         cost = key[i] + size - e
-        if (h := place.get(e - half)) is not None and best[h] < cost:
-            i, cost = h, best[h]
-        best[j], back[j] = cost + prices[j], i
+        middle = e - half
+        while ends[mid] < middle:
+            mid += 1
+        if ends[mid] == middle and best[mid] < cost:
+            i, cost = mid, best[mid]
+        cost += prices[j]
+        best[j], back[j] = cost, i
+        key[j] = k = cost + e
+        while len(queue) > head and key[queue[-1]] >= k:
+            queue.pop()
+        queue.append(j)
     j = n - 1
     if not last:  # end where a token costs least so far
         near = [k for k in range(n - 1, 0, -1) if ends[k] >= ends[-1] - size]
