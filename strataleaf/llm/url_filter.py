@@ -12,6 +12,7 @@ rejected if that is at least ``purity``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ DEPTH = 3
 MANY_CHILDREN, CHILDREN_PER_100 = 12, 25
 #: Pseudo-pages of the parent in a smoothed share; a template is rejected from PURITY on.
 WEIGHT, PURITY = 5.0, 0.9
+#: A host is hot from 1/HOT_HOSTS of the pages on, but not below HOT_MIN pages; its pages meet its templates in SLICES tasks.
+HOT_HOSTS, HOT_MIN, SLICES = 1024, 256, 32
 #: Branches within so many standard errors of their siblings are merged.
 SIGMAS = 2.0
 
@@ -79,8 +82,21 @@ def _shape(segment: Column) -> Column:
     return F.when(segment.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("*")).otherwise(digits)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Adds place (template without its last segment) and template to rows with host and path.
+def with_slices(pages: DataFrame) -> tuple[DataFrame, list[str]]:
+    """pages with _slice, which deals out the pages of hot hosts, and these hosts (HOT_HOSTS at most)."""
+    least = max(HOT_MIN, math.ceil(pages.count() / HOT_HOSTS))
+    hot = [r["host"] for r in pages.groupBy("host").count().where(F.col("count") >= least).collect()]
+    return pages.withColumn("_slice", F.when(F.col("host").isin(hot), F.pmod(F.xxhash64("page_id", "path"), F.lit(SLICES))).otherwise(F.lit(0).cast("long"))), hot
+
+
+def _spread(table: DataFrame, hot: list[str]) -> DataFrame:
+    """table with a copy of each hot host's rows for every slice."""
+    every = F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))
+    return table.withColumn("_slice", F.explode(F.when(F.col("host").isin(hot), every).otherwise(F.array(F.lit(0).cast("long")))))
+
+
+def templates(pages: DataFrame, hot: list[str]) -> DataFrame:
+    """Adds place (template without its last segment) and template to rows with host, path and _slice.
 
     A host's tree is walked from the root, one segment a step; counts of children are taken
     over all pages of a host, and distinct children by a sketch of fixed size.
@@ -94,7 +110,7 @@ def templates(pages: DataFrame) -> DataFrame:
         children = here.where("_child IS NOT NULL").groupBy("host", "template", "_child").count()
         places = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("count").alias("_pages"))
         variable = places.where((F.col("_kinds") >= MANY_CHILDREN) & (F.col("_kinds") * 100 >= F.col("_pages") * CHILDREN_PER_100)).select("host", "template", F.lit(True).alias("_variable"))
-        here = here.join(variable, ["host", "template"], "left")
+        here = here.join(_spread(variable, hot), ["host", "template", "_slice"], "left")
         child = F.when(F.col("_variable"), F.lit("*")).otherwise(F.col("_child"))
         more = F.col("_child").isNotNull()
         now = here.withColumn("place", F.when(more, F.col("template")).otherwise(F.col("place"))).withColumn("template", F.when(more, F.concat("template", F.lit("/"), child)).otherwise(F.col("template"))).drop("_child", "_variable")
@@ -139,8 +155,9 @@ def url_filter(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     for r in reversed(by_length):
         rule = F.when(_fits(r), F.lit(r.text)).otherwise(rule)
         verdict = F.when(_fits(r), F.lit(r.verdict)).otherwise(verdict)
-    rows = cut(templates(rows.withColumn("rule", rule).withColumn("_verdict", verdict)))
+    sliced, hot = with_slices(rows.withColumn("rule", rule).withColumn("_verdict", verdict))
+    rows = cut(templates(sliced, hot))
     counts = rows.groupBy("host", "place", "template").agg(F.sum((F.col("_verdict") == "block").cast("long")).alias("blocked"), F.count("_verdict").alias("labelled")).fillna(0, ["blocked"])
-    judged = rows.join(purities(cut(counts)), ["host", "template"])
+    judged = rows.join(_spread(purities(cut(counts)), hot), ["host", "template", "_slice"])
     chosen = F.coalesce("_verdict", F.when(F.col("purity") >= purity, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", chosen.alias("verdict"), "template", "purity")
