@@ -204,7 +204,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.translate(F.regexp_extract(url, r"://([^/?#]*)", 1), UPPER, UPPER.lower())
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     least = max(256, math.ceil(rows.count() / HOT_HOSTS))
-    hot = {r["host"]: math.ceil(r["count"] / least) for r in rows.groupBy("host").count().where(F.col("count") > least).collect()}
+    # At most HOT_HOSTS hosts can have so many pages, so the table can be broadcast.
+    hot = rows.groupBy("host").count().where(F.col("count") > least).select("host", F.ceil(F.col("count") / least).alias("_n"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,10 +215,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), kinds, texts], names=["page_id", "url", "host", "kinds", "texts"])
 
     parsed = rows.mapInArrow(parse, "page_id long, url string, host string, kinds binary, texts array<string>")
-    part = F.lit(0).cast("long")
-    for name, n in sorted(hot.items()):
-        part = F.when(F.col("host") == name, F.pmod(F.xxhash64("page_id", "url"), F.lit(n))).otherwise(part)
-    dealt = parsed.withColumn("part", part).repartition("host", "part").sortWithinPartitions("host", "part", "page_id")
+    part = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("_n")), F.lit(0).cast("long"))
+    dealt = parsed.join(F.broadcast(hot), "host", "left").select("page_id", "url", "host", "kinds", "texts", part.alias("part"))
+    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page_id")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
