@@ -14,8 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataleaf.llm import exact_dedup, mixing, packing, quality, simhash
+from strataleaf.llm import exact_dedup, mixing, packing, quality
 from strataleaf.llm.common import ensure_checkpoint_dir, load
+from strataleaf.llm.near_copies import near_groups
 from strataleaf.llm.queries import tokenizer_files
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,8 +38,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id; shingles of five words, up to six differing bits."""
-    return _take(docs, simhash.simhash_groups(docs, width=5, radius=6).where("doc_id = component_id"))
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: the one with the smallest id."""
+    return _take(docs, near_groups(docs, width=5, least=0.8, radius=6).where("doc_id = component_id"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
