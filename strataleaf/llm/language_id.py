@@ -91,7 +91,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 def page_rows(pages: DataFrame) -> DataFrame:
     """Rows of pages: the language that <html lang> declares, and the host of the url."""
-    declared = F.lower(F.regexp_extract(F.coalesce(F.substring(F.col("html").cast("string"), 1, 4096), F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce(F.col("html").cast("string"), F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
     return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("content"), F.lit(True).alias("markup"), F.when(declared != "", declared).alias("declared"), _host(F.col("url").cast("string")).alias("host"))
 
 
