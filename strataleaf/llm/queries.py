@@ -40,7 +40,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(load(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 4).alias("p_good"))
 
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -115,6 +115,51 @@ SELECT doc_id, source, lang, topic, n_tokens,
 FROM docs JOIN w USING (source, lang, topic)"""
 
 
+def _quality_sql(rounds: int = quality.ROUNDS) -> str:
+    """Metrics by unnesting words and windows; expectation-maximisation as a recursion over (class, rule) rows."""
+    ws = r"[\x20\x09-\x0D]"
+    rules = list(quality.RULES)
+    members = list(quality.FAMILIES.values())
+    start = []
+    for z in range(len(members) + 1):
+        share = quality.START_GOOD if z == 0 else (1 - quality.START_GOOD) / len(members)
+        start += [f"({z}, {j}, {share!r}::DOUBLE, {(1 - quality.CALM if z and k in members[z - 1] else quality.CALM)!r}::DOUBLE)" for j, k in enumerate(rules)]
+    count = lambda pattern: f"len(regexp_extract_all(text, '{pattern}'))::BIGINT"
+    among = lambda pattern: f"len(list_filter(words, lambda x: regexp_full_match(x, '{pattern}', 's')))::BIGINT"
+    return f"""
+WITH RECURSIVE base AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{ws}+'), lambda x: x <> '') AS words,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {_WS}) <> '') AS lines FROM documents),
+windows AS (SELECT row_no, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT row_no, words, unnest(range(1, len(words) - 1)) AS i FROM base)),
+twice AS (SELECT row_no, i FROM (SELECT row_no, i, count(*) OVER (PARTITION BY row_no, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT row_no, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY row_no),
+metrics AS (SELECT row_no, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {count("[#*$%&|<>]")} AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(list_distinct(words))::BIGINT AS n_distinct_words,
+  len(regexp_extract_all(array_to_string(words, ''), '\\p{{L}}'))::BIGINT AS n_letters, {count(chr(92) + "p{Lu}")} AS n_upper, {count("[!?]")} AS n_shouts,
+  {among(".*[.!?]")} AS n_stops, {among("[^" + chr(92) + "p{L}]+")} AS n_no_letter, {among(chr(92) + "p{L}" + chr(92) + "p{Ll}*[,.;:!?]?")} AS n_plain
+  FROM base LEFT JOIN covered USING (row_no)),
+voted AS MATERIALIZED (SELECT *, {", ".join(f"{quality.vote_sql(k)} AS vote_{k}" for k in rules)} FROM metrics),
+patterns AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {", ".join(f"vote_{k}" for k in rules)}) AS id, * FROM (SELECT {", ".join(f"vote_{k}" for k in rules)}, count(*) AS n FROM voted GROUP BY ALL)),
+votes AS MATERIALIZED (SELECT id, n, j, v FROM (SELECT id, n, unnest([{", ".join(f"{{'j': {j}, 'v': vote_{k}}}" for j, k in enumerate(rules))}], recursive := true) FROM patterns)),
+start AS MATERIALIZED (SELECT * FROM (VALUES {", ".join(start)}) AS t(z, j, share, rate)),
+model AS (
+  SELECT 0 AS round, z, j, share, rate FROM start
+  UNION ALL
+  SELECT now.round + 1, s.z, s.j, ({quality.PRIOR_DOCS!r}::DOUBLE * s.share + held.h) / ({quality.PRIOR_DOCS!r}::DOUBLE + held.docs), ({quality.PRIOR_VOTES!r}::DOUBLE * s.rate + held.bad) / ({quality.PRIOR_VOTES!r}::DOUBLE + held.cast_votes)
+  FROM start s JOIN (SELECT DISTINCT round FROM model) now ON now.round < {rounds}
+  JOIN (
+    SELECT z, j, sum(n * p) AS h, (SELECT sum(n)::DOUBLE FROM patterns) AS docs, sum(CASE WHEN v < 0 THEN n * p ELSE 0 END) AS bad, sum(CASE WHEN v <> 0 THEN n * p ELSE 0 END) AS cast_votes
+    FROM votes JOIN (
+      SELECT id, z, exp(l - max(l) OVER (PARTITION BY id)) / sum(exp(l - top)) OVER (PARTITION BY id) AS p FROM (
+        SELECT *, max(l) OVER (PARTITION BY id) AS top FROM (
+          SELECT id, z, ln(max(share)) + sum(CASE WHEN v < 0 THEN ln(rate) WHEN v > 0 THEN ln(1 - rate) ELSE 0 END) AS l FROM votes JOIN model USING (j) GROUP BY id, z))) USING (id) GROUP BY z, j
+  ) held ON held.z = s.z AND held.j = s.j),
+last AS MATERIALIZED (SELECT * FROM model WHERE round = {rounds}),
+logs AS (SELECT id, z, ln(max(share)) + sum(CASE WHEN v < 0 THEN ln(rate) WHEN v > 0 THEN ln(1 - rate) ELSE 0 END) AS l FROM votes JOIN last USING (j) GROUP BY id, z),
+odds AS (SELECT id, 1 / sum(exp(least(l - good, 700))) AS p_good FROM logs JOIN (SELECT id, l AS good FROM logs WHERE z = 0) USING (id) GROUP BY id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, round(p_good, 4) AS p_good
+FROM (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM voted) JOIN patterns USING ({", ".join(f"vote_{k}" for k in rules)}) JOIN odds USING (id)"""
+
+
 ORACLE_SQL = {
     "op2_line_dedup": f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -126,6 +171,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(lost)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY line_at) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
     "op3_mixing": _mixing_sql(),
+    "op5_quality": _quality_sql(),
     "op7_exact_dedup": f"""
 WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
