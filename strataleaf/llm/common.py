@@ -50,3 +50,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """rows joined with table, which has one row a key. The few keys of table that are ``hot`` are broadcast.
+
+    The caller sees to it that a bounded number of keys can be hot, so that no key with a
+    large share of rows meets in one task.
+    """
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(table.where(~hot), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, value: str, hot: Column, spread: Column) -> DataFrame:
+    """rows with ``value`` of table (one row a key), null where the key is missing; rows move once, and not for hot keys.
+
+    Rows of a ``hot`` key (a bounded number, see join_skewed) get its value by broadcast and
+    are then dealt out by ``spread``, a column of strings, instead of the key.
+    """
+    few = F.broadcast(table.where(hot).select(key, F.col(value).alias("_few")))
+    rest = table.where(~hot).select(F.col(key).alias("_key"), F.col(value).alias("_rest"))
+    known = rows.join(few, key, "left")
+    dealt = F.when(F.col("_few").isNull(), F.col(key)).otherwise(F.concat(F.lit("\u0000"), spread))
+    out = known.withColumn("_dealt", dealt).join(rest, F.col("_dealt") == F.col("_key"), "left")
+    return out.select(*rows.columns, F.coalesce("_few", "_rest").alias(value))

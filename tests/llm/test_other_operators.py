@@ -323,30 +323,113 @@ def test_blocks(page, kinds):
     assert H.blocks(page) == kinds
 
 
-def test_suffix_array_covers_repeated_runs():
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="no-sidebar"><article><p>the text</p></article></div>',
+        '<div class="layout with-sidebar"><article><p>the text</p></article></div>',
+        '<div id="form-factor"><article><p>the text</p></article></div>',
+        '<main class="has-comments"><p>the text</p></main>',
+        '<div class="post related-work"><article><p>the text</p></article></div>',
+        '<div class="sidebar content"><article><p>the text</p></article></div>',
+        '<form id="aspnetForm"><nav>m</nav><article><p>the text</p></article></form>',
+        '<article><section class="search-algorithms"><p>the text</p></section></article>',
+        '<article><p class="notice-of-award">the text</p></article>',
+        '<form><p>the text</p></form>',
+        '<article><p>the text</p></article><div class="comments"><article class="comment-body">first!</article></div>',
+        '<article><p>the text</p><div class="ad-slot-1">buy</div><ul class="site-nav"><li>a</ul></article>',
+    ],
+)
+def test_class_names_do_not_take_the_article(page):
+    assert "\n".join(t for k, t in H.blocks(page) if k != H.OTHER) == "the text"
+
+
+def html_model(rows, run=H.RUN, least=H.PAGES):
+    """Runs of every host by brute force over all its pages."""
+    parsed = [(url_model(u)[0], H.blocks(t)) for _, u, t in rows]
+    where, whole, total = defaultdict(set), defaultdict(set), Counter()
+    for k, (host, page) in enumerate(parsed):
+        total[host] += 1
+        words = [w for kind, t in page if kind != H.ARTICLE for w in t.split(" ")]
+        for a in range(len(words) - run + 1):
+            where[host, tuple(words[a : a + run])].add(k)
+        for kind, t in page:
+            if kind == H.ARTICLE and len(t.split(" ")) >= run:
+                whole[host, t].add(k)
+    out = Counter()
+    for (i, u, _), (host, page) in zip(rows, parsed, strict=True):
+        words = [w for kind, t in page if kind != H.ARTICLE for w in t.split(" ")]
+        cover = [False] * len(words)
+        for a in range(len(words) - run + 1):
+            if len(where[host, tuple(words[a : a + run])]) >= least:
+                cover[a : a + run] = [True] * run
+        article = any(kind == H.ARTICLE for kind, _ in page)
+        every, kept, at = [], [], 0
+        for kind, t in page:
+            own = t.split(" ")
+            if kind == H.ARTICLE:
+                every.append(t)
+                on = len(whole[host, t])
+                if on < least or on < H.HOST_SHARE * total[host]:
+                    kept.append(t)
+                continue
+            stays = [w for w, c in zip(own, cover[at : at + len(own)], strict=True) if not c]
+            at += len(own)
+            if kind == H.OPEN and (not article or len(own) >= H.ASIDE):
+                every.append(t)
+                if len(stays) >= (H.ASIDE if article else 1):
+                    kept.append(" ".join(stays))
+        if sum(map(len, kept)) <= (1 - H.COPY) * sum(map(len, every)):
+            kept = every
+        out[i, "\n".join(kept)] += 1
+    return out
+
+
+def boilerplate_pages(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    some = lambda k: " ".join(word() for _ in range(k))
+    same, menu, share, passage = some(14), some(9), some(10), some(40)
+    rows = []
+    for k in range(n):
+        host = rng.choice(["hot", "hot", "hot", "a", "b", "c"])
+        rare = f"<div>{passage}</div>" if k % 50 == 0 else ""
+        if k % 3 == 0:
+            body = f"<article><p>{some(30)}</p><p>{share}</p>{f'<p>{passage}</p>' if k % 5 == 0 else ''}<p>{some(12)}</p></article><div>{same} {some(26)}</div>"
+        elif k % 3 == 1:
+            body = f"<div>{menu}</div><div>{some(30)} {same} {some(3)}</div>{rare}"
+        else:
+            body = f"<ul class=menu><li>{menu}</ul><p>{some(20)}<p>{menu} {some(5)}{rare}"
+        rows.append((k, f"http://{host}/{k}", body))
+    rows += [(10_000 + k, "http://copies/x", rows[1][2]) for k in range(5)]
+    return rows
+
+
+@pytest.mark.parametrize(("partitions", "part"), [(1, H.PART), (7, 400), (61, 1)])
+def test_boilerplate_is_that_of_the_whole_host(spark, partitions, part):
+    rows = boilerplate_pages(240, 3)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+    got = Counter((r["page_id"], r["text"]) for r in H.extract(df, part=part).collect())
+    want = html_model(rows)
+    assert got == want
+    # The suffix arrays decide: without them, texts differ on most pages.
+    alone = Counter((i, H.main_text(H.blocks(t), "", set())) for i, _, t in rows)
+    assert sum((want - alone).values()) > len(rows) / 2
+
+
+def test_suffix_classes_are_sorted():
     rng = np.random.default_rng(6)
     for _ in range(30):
-        pages = [rng.integers(0, 3, int(rng.integers(0, 30))).tolist() for _ in range(5)]
-        ids, page_of = [], []
-        for k, p in enumerate(pages):
-            ids += [*p, -1 - k]
-            page_of += [k] * (len(p) + 1)
-        run, least = 3, 2
-        where = defaultdict(set)
-        for k, p in enumerate(pages):
-            for a in range(len(p) - run + 1):
-                where[tuple(p[a : a + run])].add(k)
-        want = []
-        for p in pages:
-            cover = [False] * (len(p) + 1)
-            for a in range(len(p) - run + 1):
-                if len(where[tuple(p[a : a + run])]) >= least:
-                    cover[a : a + run] = [True] * run
-            want += cover
-        assert H.repeated(np.array(ids), np.array(page_of), run, least).tolist() == want
-
-
-def test_boilerplate_of_a_host_goes_but_article_passages_stay(spark):
+        ids = rng.integers(0, 3, 40)
+        order, rank = H.suffix_classes(ids, 5)
+        heads = [tuple(ids[k : k + 5]) for k in order]
+        assert heads == sorted(heads)
+        assert all((rank[a] == rank[b]) == (heads[i] == heads[j]) for i, a in enumerate(order) for j, b in enumerate(order))
+
+
+def test_passages_of_some_articles_stay(spark):
     same = "this passage stands on every page of the host and is long enough"
     made = [(k, f"http://h/{k}", f"<div>unique text here number {k} {same}</div>") for k in range(5)] + [(9, "http://h/a", f"<article><p>{same}</p><p>{same}</p></article>"), (10, "http://other/a", f"<p>{same}")]
     got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
@@ -362,8 +445,7 @@ def test_articles_of_the_fixture(small_pages):
         assert got[r["page_id"]] == (want, len(want))
 
 
-def test_html_edges(pages, no_pages, monkeypatch):
-    monkeypatch.setattr(H, "CHUNK", 100)
+def test_html_edges(pages, no_pages):
     got = H.extract(pages).collect()
     assert Counter((r["page_id"], r["url"]) for r in got) == Counter((i, u) for i, u, *_ in page_rows())
     assert {r["page_id"]: r["text"] for r in got}[8] == "a\nb" and {r["page_id"]: r["text"] for r in got}[None] == ""
