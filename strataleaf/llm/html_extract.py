@@ -240,10 +240,10 @@ def class_rows(host: str, pages: list[list[tuple[int, str]]], run: int = RUN) ->
 def page_keys(host: str, page: list[tuple[int, str]], run: int = RUN) -> tuple[list[tuple[int, int]], tuple[np.ndarray, np.ndarray], list[int]]:
     """Of a page: the key of each article block of ``run`` tokens at least, the keys of its stream's runs, and their starts in it.
 
-    The stream holds open and chrome blocks, as in class_rows.
+    The stream holds open and chrome blocks, as in class_rows; without an open block, nothing hangs on it.
     """
-    words = [w for kind, text in page if kind != ARTICLE for w in text.split(" ")]
     whole = [_block_key(text, host) for kind, text in page if kind == ARTICLE and text.count(" ") + 1 >= run]
+    words = [w for kind, text in page if kind != ARTICLE for w in text.split(" ")] if any(kind == OPEN for kind, _ in page) else []
     if len(words) < run:
         return whole, (np.zeros(0, np.int64),) * 2, []
     hashes = _word_hashes(words)
@@ -270,7 +270,7 @@ def main_text(page: list[tuple[int, str]], host: str, boilerplate: set[tuple[int
             if not boilerplate or len(words) < run or _block_key(text, host) not in boilerplate:
                 kept.append(text)
             continue
-        hidden = covered[at : at + len(words)]
+        hidden = covered[at : at + len(words)] if len(covered) else covered
         at += len(words)
         if kind == OPEN and (not has_article or len(words) >= ASIDE):
             every.append(text)
@@ -339,7 +339,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for uid, text, name in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 page = blocks(text.as_py())
                 whole, (low, high), _ = page_keys(name, page, run)
-                keys = {*whole, *zip(low.tolist(), high.tolist(), strict=True)} if any(kind == OPEN for kind, _ in page) else set(whole)
+                keys = {*whole, *zip(low.tolist(), high.tolist(), strict=True)}
                 uids += [uid] * len(keys)
                 lows += [k[0] for k in keys]
                 highs += [k[1] for k in keys]

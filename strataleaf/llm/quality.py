@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,24 +128,19 @@ def fit(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list
     ``votes`` are in the order of RULES. Without documents it is the start.
     """
     counts = sorted(counts)
-    start = [(START_GOOD, [CALM] * len(RULES))]
-    start += [((1 - START_GOOD) / len(FAMILIES), [1 - CALM if k in members else CALM for k in RULES]) for members in FAMILIES.values()]
-    model = start
+    votes = np.array([v for v, _ in counts], np.int8).reshape(-1, len(RULES))
+    n = np.array([k for _, k in counts], float)
+    bad, cast = (votes < 0).astype(float), (votes != 0).astype(float)
+    begun = np.array([START_GOOD] + [(1 - START_GOOD) / len(FAMILIES)] * len(FAMILIES))
+    begun_rates = np.array([[CALM] * len(RULES)] + [[1 - CALM if k in members else CALM for k in RULES] for members in FAMILIES.values()])
+    share, rates = begun, begun_rates
     for _ in range(rounds):
-        held = [PRIOR_DOCS * share for share, _ in start]
-        bad = [[PRIOR_VOTES * r for r in rates] for _, rates in start]
-        cast = [[PRIOR_VOTES] * len(RULES) for _ in start]
-        for votes, n in counts:
-            for z, p in enumerate(posterior(model, votes)):
-                held[z] += n * p
-                for j, v in enumerate(votes):
-                    if v:
-                        cast[z][j] += n * p
-                        if v < 0:
-                            bad[z][j] += n * p
-        docs = sum(held)
-        model = [(h / docs, [b / c for b, c in zip(bs, cs, strict=True)]) for h, bs, cs in zip(held, bad, cast, strict=True)]
-    return model
+        logs = np.log(share) + bad @ np.log(rates).T + (cast - bad) @ np.log(1 - rates).T
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        p *= (n / p.sum(axis=1))[:, None]
+        share = (PRIOR_DOCS * begun + p.sum(axis=0)) / (PRIOR_DOCS + n.sum())
+        rates = (PRIOR_VOTES * begun_rates + p.T @ bad) / (PRIOR_VOTES + p.T @ cast)
+    return [(float(s), [float(r) for r in rs]) for s, rs in zip(share, rates, strict=True)]
 
 
 def log_terms(model: list[tuple[float, list[float]]]) -> list[tuple[float, list[tuple[float, float]]]]:

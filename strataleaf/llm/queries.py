@@ -84,15 +84,24 @@ _KEY = f"translate(trim(line, {_WS}), '{UPPER}', '{UPPER.lower()}')"
 
 
 def _mixing_sql(sweeps: int = mixing.SWEEPS, share: float = 0.9) -> str:
-    """The fit unrolled, sweep by sweep; the level solved from sums over cells in descending weight."""
+    """The fit unrolled, sweep by sweep; the level of the default targets from sums over values in the order in which they reach their bound."""
     steps, now = [], "m0"
     for k in range(sweeps):
         for d in mixing.DIMENSIONS:
             new = f"m{k}_{d}"
-            cols = ", ".join(x for x in ("source", "lang", "topic", "tokens", "total", "t_source", "t_lang", "t_topic"))
-            steps.append(f"{new} AS MATERIALIZED (SELECT {cols}, CASE WHEN sum(mass) OVER (PARTITION BY {d}) > 0 THEN mass * t_{d} * total / sum(mass) OVER (PARTITION BY {d}) ELSE 0 END AS mass FROM {now})")
+            steps.append(f"{new} AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, CASE WHEN sum(mass) OVER (PARTITION BY {d}) > 0 THEN least(tokens::DOUBLE, mass * t_{d} / sum(mass) OVER (PARTITION BY {d})) ELSE 0 END AS mass FROM {now})")
             now = new
-    targets = ", ".join(f"r_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {mixing.POWERS[d]}::DOUBLE) AS p FROM cells GROUP BY 1), q_{d} AS (SELECT {d}, p / (SELECT sum(p) FROM r_{d}) AS t_{d} FROM r_{d})" for d in mixing.DIMENSIONS)
+    targets = []
+    for d in mixing.DIMENSIONS:
+        # Values whose bound is low for their power saturate first; the others share what is left by their powers.
+        targets.append(
+            f"""r_{d} AS (SELECT {d}, sum(tokens)::DOUBLE AS held, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens)::DOUBLE, {mixing.POWERS[d]}::DOUBLE) ELSE 0 END AS p FROM cells GROUP BY 1),
+b_{d} AS (SELECT *, held / ((SELECT sum(held) FROM r_{d}) * {share}::DOUBLE) AS bound FROM r_{d} WHERE held > 0),
+o_{d} AS (SELECT *, coalesce(sum(bound) OVER before, 0) AS full_share, (SELECT sum(p) FROM b_{d}) - coalesce(sum(p) OVER before, 0) AS rest FROM b_{d} WINDOW before AS (ORDER BY bound / p, {d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l_{d} AS (SELECT min_by((1 - full_share) / rest, full_share) AS level FROM o_{d} WHERE (1 - full_share) / rest <= bound / p + 1e-15),
+q_{d} AS (SELECT {d}, least(p * (SELECT level FROM l_{d}), bound) * (SELECT sum(held) FROM r_{d}) * {share}::DOUBLE AS t_{d} FROM b_{d})"""
+        )
+    tables = ", ".join(targets)
     return f"""
 WITH base AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text FROM documents),
 docs AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
@@ -101,17 +110,12 @@ docs AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^\\x20\\x09
        WHEN len(regexp_extract_all(text, '[0-9]')) * 50 > greatest(length(text), 1) THEN 'figures'
        WHEN greatest(length(text), 1)::DOUBLE / (length(text) - length(replace(text, chr(10), '')) + 1) < 80 THEN 'list' ELSE 'prose' END AS topic FROM base),
 cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
-{targets},
-m0 AS (SELECT cells.*, t_source, t_lang, t_topic, tokens::DOUBLE AS mass, (SELECT sum(tokens)::DOUBLE FROM cells) AS total FROM cells JOIN q_source USING (source) JOIN q_lang USING (lang) JOIN q_topic USING (topic)),
+{tables},
+m0 AS (SELECT source, lang, topic, tokens, coalesce(t_source, 0) AS t_source, coalesce(t_lang, 0) AS t_lang, coalesce(t_topic, 0) AS t_topic, tokens * {share}::DOUBLE AS mass FROM cells LEFT JOIN q_source USING (source) LEFT JOIN q_lang USING (lang) LEFT JOIN q_topic USING (topic)),
 {", ".join(steps)},
-w AS (SELECT source, lang, topic, tokens, mass / greatest(tokens, 1) AS weight FROM {now}),
-s AS (SELECT *, coalesce(sum(tokens) OVER before, 0) AS full_tokens, (SELECT sum(tokens * weight) FROM w) - coalesce(sum(tokens * weight) OVER before, 0) AS rest, (SELECT sum(tokens) FROM w) AS whole FROM w WHERE tokens > 0
-  WINDOW before AS (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT min_by(({share}::DOUBLE * whole - full_tokens) / rest, full_tokens) AS factor FROM s WHERE rest > 0 AND ({share}::DOUBLE * whole - full_tokens) / rest * weight <= 1)
-SELECT doc_id, source, lang, topic, n_tokens,
-  round(CASE WHEN tokens = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (SELECT factor FROM f) * weight) END, 6) AS probability,
-  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
-    < CASE WHEN tokens = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (SELECT factor FROM f) * weight) END AS kept
+w AS (SELECT source, lang, topic, CASE WHEN tokens = 0 THEN 1.0::DOUBLE ELSE mass / tokens END AS probability FROM {now})
+SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability,
+  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < probability AS kept
 FROM docs JOIN w USING (source, lang, topic)"""
 
 
