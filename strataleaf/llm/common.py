@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,23 +32,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Rows of one Arrow batch at most: a batch of whole texts has to fit into a Python worker several times over.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session small; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -75,3 +71,22 @@ def attach(rows: DataFrame, table: DataFrame, key: str, value: str, hot: Column,
     dealt = F.when(F.col("_few").isNull(), F.col(key)).otherwise(F.concat(F.lit("\u0000"), spread))
     out = known.withColumn("_dealt", dealt).join(rest, F.col("_dealt") == F.col("_key"), "left")
     return out.select(*rows.columns, F.coalesce("_few", "_rest").alias(value))
+
+
+#: A key is hot from 1/HOT_KEYS of the rows on, but not below HOT_MIN of them; its rows are dealt out in SLICES.
+HOT_KEYS, HOT_MIN, SLICES = 1024, 256, 32
+
+
+def join_sliced(rows: DataFrame, table: DataFrame, key: str, size: str, spread: Column, total: int | None = None) -> DataFrame:
+    """rows joined with table, which has one row a key and the key's number of rows in ``size``.
+
+    Rows of a hot key (HOT_KEYS at most) are dealt out by ``spread``, and the key's row of
+    table comes once for every slice. Only hot keys themselves are broadcast.
+    """
+    total = total if total is not None else table.agg(F.sum(size)).first()[0] or 0
+    least = max(HOT_MIN, math.ceil(total / HOT_KEYS))
+    zero = F.lit(0).cast("long")
+    hot = F.broadcast(table.where(F.col(size) >= least).select(key, F.lit(True).alias("_hot")))
+    dealt = rows.join(hot, key, "left").withColumn("_slice", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SLICES))).otherwise(zero)).drop("_hot")
+    every = F.when(F.col(size) >= least, F.sequence(zero, F.lit(SLICES - 1).cast("long"))).otherwise(F.array(zero))
+    return dealt.join(table.withColumn("_slice", F.explode(every)), [key, "_slice"]).drop("_slice")

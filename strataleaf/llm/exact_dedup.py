@@ -53,20 +53,24 @@ def exact_dedup(
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
-    text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text: Column = F.coalesce("_raw", F.lit(""))
     held = [f"in_{c}" for c in carry]
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), *[F.col(c).alias(f"in_{c}") for c in carry])
+    others = [F.col(c).alias(f"in_{c}") for c in carry if c != text_col]
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_raw"), *others)
     # Equal normalised texts are equal after lower() too, so its hash brings them together.
-    keyed = raw.withColumn("_hash", F.xxhash64(F.lower("_text")))
+    keyed = raw.withColumn("_hash", F.xxhash64(F.lower(text)))
     hot = _hot_hashes(keyed)
     share, is_hot = F.lit(0).cast("long"), F.lit(False)
     if hot:
         is_hot = F.col("_hash").isin(list(hot))
         share = F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(max(hot.values())))).otherwise(share)
-    head = normalise(F.substring("_text", 1, HEAD))
+    head = normalise(F.substring(text, 1, HEAD))
     # Only the text as it is moves; its normal form is made where it is sorted.
-    dealt = keyed.select("doc_id", head.alias("_head"), "_hash", share.alias("_slice"), "_text", *held).repartitionByRange("_head", "_hash", "_slice")
-    dealt = dealt.withColumn("_norm", normalise(F.col("_text"))).withColumn("_row", F.monotonically_increasing_id())
+    moved = [f"in_{c}" for c in carry if c != text_col]
+    dealt = keyed.select("doc_id", head.alias("_head"), "_hash", share.alias("_slice"), "_raw", *moved).repartitionByRange("_head", "_hash", "_slice")
+    dealt = dealt.withColumn("_norm", normalise(text)).withColumn("_row", F.monotonically_increasing_id())
+    if text_col in carry:
+        dealt = dealt.withColumnRenamed("_raw", f"in_{text_col}")
     order = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
     run = Window.partitionBy("_head", "_hash", "_slice", "_norm").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -1,10 +1,14 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
 
-Candidates are pairs that share a band of MinHash values, and links of SimHash fingerprints.
-Each is confirmed on the two whole sets, so no text is linked to one that is not that similar.
-With 32 bands of five values a pair at 0.8 shares none with a chance of 3 in a million, one at
-0.9 with less than 1 in 10^12. In a band with over FEW texts all are compared with the smallest id first;
-pairs that are still in different components are then all compared.
+Texts with the same set stand for each other. Candidates are links of SimHash fingerprints and
+pairs that share a band of MinHash values; each is confirmed on the two whole sets, so no text
+is linked to one that is not that similar. With 32 bands of five values a pair at 0.8 shares
+none with a chance of 3 in a million, one at 0.9 with less than 1 in 10^12.
+
+Members of a band are first compared with its smallest id, which joins most of them. Bands
+whose members still lie in several components are then gone through: in one of at most FEW
+members, pairs of different components are compared; a larger one is dealt out again by 32
+fresh bands, so that no band ever makes all its pairs.
 """
 
 from __future__ import annotations
@@ -16,15 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import cut, small_batches
-from strataleaf.llm.simhash import BITS, _groups, components, links
+from strataleaf.llm.common import cut, join_sliced
+from strataleaf.llm.simhash import BITS, components, links
 
 ROWS, BANDS = 5, 32
-#: Texts of one band up to which all its pairs are compared at once.
+#: Members of a band up to which its pairs of different components are compared.
 FEW = 64
-_RANDOM = np.random.default_rng(5)
-FACTORS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-TERMS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, np.uint64)
+#: Times that large bands are dealt out again.
+DEALS = 3
+SHINGLES_SCHEMA = "doc_id long, shingles binary"
+
+
+def _hashers(deal: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and terms of the MinHash values of a deal."""
+    rng = np.random.default_rng(5 + deal)
+    return rng.integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, ROWS * BANDS, np.uint64)
 
 
 def digests(text: str | None, width: int) -> np.ndarray:
@@ -49,46 +59,60 @@ def _fingerprint(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little")
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
+def band_keys(shingles: np.ndarray, hashers: tuple[np.ndarray, np.ndarray]) -> list[int]:
     """One key for each band of MinHash values of a set of digests."""
     import xxhash
 
+    factors, terms = hashers
     low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
-        np.minimum(low, (shingles[at : at + 1024, None] * FACTORS + TERMS).min(axis=0), out=low)
+        np.minimum(low, (shingles[at : at + 1024, None] * factors + terms).min(axis=0), out=low)
     return [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(low.reshape(BANDS, ROWS))]
 
 
+def _lists(keys: list[int], n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(np.array(keys, np.uint64).view(np.int64)))
+
+
 def _marks(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, SimHash fp, number of distinct shingles and band keys."""
+    """doc_id, SimHash fp, number of distinct shingles, a digest of their set, and band keys."""
+    hashers = _hashers(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, whole, keys = [], [], [], []
             for text in batch.column(1):
                 found = digests(text.as_py(), width)
                 fps.append(_fingerprint(found))
                 shingles = np.unique(found)
                 sizes.append(len(shingles))
-                keys += band_keys(shingles)
-            signed = pa.array(np.array(keys, np.uint64).view(np.int64))
-            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, signed)], names=["doc_id", "fp", "n", "keys"])
+                whole.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                keys += band_keys(shingles, hashers)
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), _lists(keys, len(sizes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "whole", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, n long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, fp long, n long, whole binary, keys array<long>")
 
 
-def _shared(marked: DataFrame) -> DataFrame:
-    """(key, doc_id, n, many) of bands with two texts or more; many: more than FEW."""
+def _fresh_keys(docs: DataFrame, width: int, deal: int) -> DataFrame:
+    """doc_id and the band keys of a later deal."""
+    hashers = _hashers(deal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches):
-            _, at, count = np.unique(part["key"], return_inverse=True, return_counts=True)
-            use = count[at] > 1
-            yield pa.RecordBatch.from_arrays([*(pa.array(part[c][use]) for c in ("key", "doc_id", "n")), pa.array(count[at][use] > FEW)], names=["key", "doc_id", "n", "many"])
+        for batch in batches:
+            keys = [k for text in batch.column(1) for k in band_keys(np.unique(digests(text.as_py(), width)), hashers)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(keys, batch.num_rows)], names=["doc_id", "fresh"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fresh array<long>")
+
 
-    rows = marked.select(F.explode("keys").alias("key"), "doc_id", "n")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, doc_id long, n long, many boolean")
+def _banded(members: DataFrame) -> DataFrame:
+    """(key, doc_id, n, size, first) of the bands (key, doc_id, n) with two members or more; first is the smallest id."""
+    members = cut(members)
+    bands = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first")).where(F.col("size") > 1)
+    return cut(join_sliced(members, bands, "key", "size", F.col("doc_id")))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -109,9 +133,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit)), batch.column(1).filter(pa.array(hit))], names=["u", "v"])
 
     pairs = cut(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    made = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary"))
-    full = pairs.join(made.toDF("v", "b"), "v").join(made.toDF("u", "a"), "u").select("u", "v", "a", "b")
+    by_u, by_v = (pairs.groupBy(F.col(c).alias("doc_id")).agg(F.count(F.lit(1)).alias(f"n_{c}")) for c in "uv")
+    ids = by_u.join(by_v, "doc_id", "full")
+    made = cut(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, SHINGLES_SCHEMA).join(ids, "doc_id"))
+    v_sets = made.where("n_v IS NOT NULL").select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"), F.col("n_v").alias("m"))
+    u_sets = made.where("n_u IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"), F.col("n_u").alias("m"))
+    with_v = join_sliced(pairs, v_sets, "v", "m", F.col("u")).drop("m")
+    full = join_sliced(with_v, u_sets, "u", "m", F.col("v")).select("u", "v", "a", "b")
     return full.mapInArrow(compare, "u long, v long")
 
 
@@ -119,34 +147,47 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per distinct id: doc_id and component_id, the smallest id reachable over confirmed pairs.
 
     Texts without a word are copies of each other. Rows that share an id are one document
-    that is linked if one of them is; null ids are left out. An empty table gives an empty
-    result; other columns are ignored.
+    that is linked if one of them is; null ids are left out. A very long text is compared as
+    a whole. An empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     marked = cut(_marks(docs, width))
-    shared = cut(_shared(marked))
+    # One text stands for all with its set: the smallest id, so its band keys and its size are theirs.
+    stand = cut(marked.groupBy("whole").agg(F.min("doc_id").alias("stand"), F.count(F.lit(1)).alias("copies")))
+    placed = cut(join_sliced(marked.select("whole", "doc_id", "fp", "n"), stand, "whole", "copies", F.col("doc_id")).select("doc_id", "fp", "n", "stand"))
+    texts = cut(marked.join(stand.select(F.col("stand").alias("doc_id"), F.col("whole")), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id", "whole"]).select("doc_id", "fp", "n", "keys"))
     alike = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
 
-    # Every text of a large band against the band's smallest id, every pair of a small one.
-    first = shared.where("many").groupBy("key").agg(F.min("doc_id").alias("v"))
-    stars = shared.where("many").join(first, "key").select(F.col("doc_id").alias("u"), "v")
-    few = shared.where("NOT many")
-    near = few.select("key", F.col("doc_id").alias("u"), "n").join(few.select("key", F.col("doc_id").alias("v"), F.col("n").alias("m")), "key").where((F.col("u") < F.col("v")) & alike).select("u", "v")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    shared = _banded(texts.select(F.explode("keys").alias("key"), "doc_id", "n"))
+    stars = shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    nodes = cut(texts.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")))
     edges = links(nodes.select("fp"), radius)
-    linked = edges.join(nodes.toDF("u", "_u"), "u").join(nodes.toDF("v", "_v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    equal = marked.join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
-    found = cut(_confirmed(docs, near.unionByName(stars).unionByName(linked).unionByName(equal), width, least))
+    linked = edges.join(nodes.select(F.col("fp").alias("u"), F.col("least_id").alias("_u")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("least_id").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    equal = join_sliced(texts.select("doc_id", "fp"), nodes, "fp", "size", F.col("doc_id")).select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
+    found = cut(_confirmed(docs, stars.unionByName(linked).unionByName(equal), width, least))
+    # Rows that share an id may have several sets; they are one document.
+    same = placed.where("doc_id <> stand").select(F.col("doc_id").alias("u"), F.col("stand").alias("v"))
+    found = found.unionByName(same)
     roots = cut(components(found))
 
-    # What the stars of a large band leave apart: all its pairs from different components.
-    placed = shared.where("many").join(roots.toDF("doc_id", "root"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    apart = cut(placed.join(open_keys, "key", "left_semi"))
-    if not apart.isEmpty():
-        other = apart.select("key", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("root").alias("_root"))
-        rest = apart.withColumnRenamed("doc_id", "u").join(other, "key").where((F.col("root") < F.col("_root")) & alike).select("u", "v")
-        roots = components(found.unionByName(_confirmed(docs, rest, width, least)))
+    for deal in range(DEALS + 1):
+        now = shared.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "size", F.coalesce("root", "doc_id").alias("root"))
+        open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("size").alias("m")).where("a < b").select("key", "m")
+        apart = cut(join_sliced(now, open_keys, "key", "m", F.col("doc_id")).drop("m"))
+        if apart.isEmpty():
+            break
+        few = apart.where(F.col("size") <= FEW)
+        other = few.select("key", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("root").alias("_root"))
+        pairs = few.withColumnRenamed("doc_id", "u").join(other, "key").where((F.col("root") < F.col("_root")) & alike).select("u", "v")
+        large = apart.where(F.col("size") > FEW)
+        again = deal < DEALS and not large.isEmpty()
+        if again:
+            fresh = cut(_fresh_keys(docs.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), width, deal + 1).dropDuplicates(["doc_id"]))
+            shared = _banded(large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n").select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n"))
+            pairs = pairs.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
+        found = cut(found.unionByName(_confirmed(docs, pairs, width, least)))
+        roots = cut(components(found))
+        if not again:
+            break
     ids = marked.select("doc_id").distinct()
-    return ids.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    return ids.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

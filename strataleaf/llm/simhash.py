@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import cut, small_batches
+from strataleaf.llm.common import cut, join_sliced
 
 #: Members from which a shard is dealt out again, and members of one tree at most.
 SPLIT = 512
@@ -255,20 +255,25 @@ def links(fps: DataFrame, radius: int = 4, split: int = SPLIT, tree: int = TREE)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(u, root) for every node of the edges (u, v), by alternating large and small stars; roots map to themselves."""
+    """(u, root) for every node of the edges (u, v), by alternating large and small stars; roots map to themselves.
+
+    A star's centre can have a large share of the edges: its rows are dealt out in slices.
+    """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state, n = None, now.count()
+    size = F.count(F.lit(1)).alias("size")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lows.select("u", F.col("m").alias("v"))).distinct()
+        lows = both.groupBy("u").agg(F.min("v").alias("m"), size).select("u", F.least("u", "m").alias("m"), "size")
+        large = join_sliced(both.where("v > u"), lows, "u", "size", F.col("v"), 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large)
+        lows = large.groupBy("u").agg(F.min("v").alias("m"), size)
+        small = join_sliced(large, lows, "u", "size", F.col("v"), 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lows.select("u", F.col("m").alias("v"))).distinct()
         now = cut(small)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == tuple(seen):
             break
-        state = tuple(seen)
+        state, n = tuple(seen), seen[0]
     else:
         raise RuntimeError("the components did not settle")
     return now.select("u", F.col("v").alias("root")).unionByName(now.select("v").distinct().select(F.col("v").alias("u"), F.col("v").alias("root")))
@@ -280,16 +285,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id is the smallest id that is reachable over links of at most ``radius``
     differing bits, the own id included. Texts without a word (null, empty, white space)
     have fingerprint zero and are linked like any other. A null id gets the component of
-    its fingerprint. An empty table gives an empty result; other columns are ignored.
+    its fingerprint. Repeated rows get equal answers. A very long text is read as a whole,
+    its shingles some thousand at a time. An empty table gives an empty result; other
+    columns are ignored.
     """
-    small_batches(docs.sparkSession)
     marked = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")))
     edges = links(nodes.select("fp"), radius, split, tree)
     roots = components(edges).select(F.col("u").alias("fp"), "root")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = placed.join(roots.select(F.col("root").alias("r")).distinct(), F.col("root") == F.col("r"), "left_semi")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = placed.join(least, "root", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    placed = cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    ids = cut(join_sliced(placed, least, "root", "members", F.col("fp")).select("fp", "component_id", "size"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.join(ids, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return join_sliced(marked, ids, "fp", "size", F.col("doc_id")).select("doc_id", hexed.alias("fingerprint"), "component_id")

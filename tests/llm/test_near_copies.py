@@ -53,8 +53,43 @@ def test_groups_are_those_of_all_pairs(spark, few, monkeypatch):
 def test_stage_drops_near_copies_and_nothing_else(spark, data):
     rows = made(2)
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, data).collect()}
-    assert kept == {i for i, r in brute_force(rows).items() if i == r}
+    kept = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, data).collect()]
+    roots = brute_force(rows)
+    assert sorted(roots[i] for i in kept) == sorted(set(roots.values()))
+
+
+@pytest.mark.parametrize("few", [64, 3])
+def test_large_families_hold_together(spark, few, monkeypatch):
+    """Variants of one text that are each near it but not each other, copies of them, and a family that is near nothing."""
+    monkeypatch.setattr(N, "FEW", few)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    texts = [base]
+    for k in range(60):
+        copy = list(base)
+        for at in rng.sample(range(120), 2 if k % 2 else 9):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts += [copy] * (1 + k % 3)
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t).upper() if k % 4 == 0 else " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_force(rows)
+
+
+def test_planted_copies_are_found(spark):
+    """Recall over texts of 300 words with one to twenty words changed, by similarity."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(9000)}"
+    rows = []
+    for k in range(120):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for at in rng.sample(range(300), 1 + k % 8):
+            copy[at] = word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_force(rows)
+    assert got == want and 60 < sum(i != r for i, r in want.items()) < 120
 
 
 def test_edges(docs, no_docs):

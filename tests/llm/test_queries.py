@@ -6,7 +6,12 @@ import pytest
 from oracle import assert_same
 
 import corpus_pipeline
-from strataleaf.llm import queries
+from strataleaf.llm import mixing, quality, queries
+from test_near_copies import brute_force
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -46,14 +51,25 @@ def test_pipeline(spark, data, small_docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, now, data)
         assert out.columns == small_docs.columns, name
-        kept = {r["doc_id"]: r["text"] for r in out.collect()}
-        before = {r["doc_id"]: r["text"] for r in now.collect()}
-        assert kept.items() <= before.items() and kept
+        rows = out.collect()
+        kept, before = Counter(tuple(r) for r in rows), Counter(tuple(r) for r in now.collect())
+        assert kept and not kept - before, name
         if name == "exact dedup":
-            assert len(kept) == len({t.lower() for t in before.values()}) or len(kept) <= len(before)
-            low = Counter("".join(c.lower() if c.isascii() else c for c in t) for t in kept.values())
-            assert max(low.values()) == 1
-        now = spark.createDataFrame(out.collect(), small_docs.schema)
+            largest = {}
+            for r in before:
+                largest[lower(r[1])] = max(largest.get(lower(r[1]), -1), r[0])
+            assert {(r["doc_id"], lower(r["text"])) for r in rows} == {(i, t) for t, i in largest.items()} and len(rows) == len(largest)
+        if name == "quality rules":
+            verdicts = {r["doc_id"]: r["kept"] for r in quality.judge(now).collect()}
+            assert {r["doc_id"] for r in rows} == {i for i, k in verdicts.items() if k}
+        if name == "simhash near-dedup":
+            roots = brute_force([(r[0], r[1]) for r in before])
+            by_root = Counter(roots[r["doc_id"]] for r in rows)
+            assert set(by_root) == set(roots.values()) and max(by_root.values()) == 1
+        if name == "source mix":
+            verdicts = {r["doc_id"]: r["kept"] for r in mixing.mix(now).collect()}
+            assert {r["doc_id"] for r in rows} == {i for i, k in verdicts.items() if k}
+        now = spark.createDataFrame(rows, small_docs.schema)
     pieces = corpus_pipeline.STAGES[-1][1](spark, now, data)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in now.collect()}
     whole = corpus_pipeline.run(spark, data)
@@ -61,8 +77,26 @@ def test_pipeline(spark, data, small_docs):
     assert key(whole) == key(pieces)
 
 
+def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark, data):
+    rows = [(1, "aaa"), (1, "bbb"), (2, "BBB"), (None, "zzz"), (None, "yyy"), (None, "ZZZ")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = Counter((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.exact_copies(spark, docs, data).collect())
+    assert out == Counter([(1, "aaa"), (2, "bbb"), (None, "zzz"), (None, "yyy")])
+    assert corpus_pipeline.near_copies(spark, docs, data).count() == 6 - 0
+    assert corpus_pipeline.source_mix(spark, docs, data).where("doc_id IS NULL").count() in (0, 3)
+    words = " ".join(f"{w} plain words" for w in ("some", "quite", "very", "rather", "other", "more", "less", "few", "many", "most", "such", "own", "same", "too", "only", "then", "here", "now."))
+    long = spark.createDataFrame([(None, words, "en", "a", 3), (7, words, "en", "a", 3), (7, "short", "en", "a", 3)], docs.schema)
+    assert [(r["doc_id"], r["text"]) for r in corpus_pipeline.quality_rules(spark, long, data).orderBy("doc_id").collect()] == [(None, words), (7, words)]
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stage_edges(spark, data, docs, no_docs, k):
     stage = corpus_pipeline.STAGES[k][1]
-    stage(spark, docs, data).count()
+    before = Counter((r["doc_id"], r["text"], r["source"]) for r in docs.collect())
+    rows = stage(spark, docs, data).collect()
+    if k < len(corpus_pipeline.STAGES) - 1:
+        assert not Counter((r["doc_id"], r["text"], r["source"]) for r in rows) - before
+        assert (k == 0) == (len(rows) < 2)  # of these rows only the long one has 50 words
+    else:
+        assert {r["doc_id"] for r in rows} == {i for i, _, _ in before}
     assert stage(spark, no_docs, data).count() == 0
