@@ -112,7 +112,7 @@ def _banded(members: DataFrame) -> DataFrame:
     """(key, doc_id, n, size, first) of the bands (key, doc_id, n) with two members or more; first is the smallest id."""
     members = cut(members)
     bands = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first")).where(F.col("size") > 1)
-    return cut(join_sliced(members, bands, "key", "size", F.col("doc_id")))
+    return cut(join_sliced(members, bands, "key", "size", F.col("doc_id"), members.count()))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -138,8 +138,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> D
     made = cut(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, SHINGLES_SCHEMA).join(ids, "doc_id"))
     v_sets = made.where("n_v IS NOT NULL").select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"), F.col("n_v").alias("m"))
     u_sets = made.where("n_u IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"), F.col("n_u").alias("m"))
-    with_v = join_sliced(pairs, v_sets, "v", "m", F.col("u")).drop("m")
-    full = join_sliced(with_v, u_sets, "u", "m", F.col("v")).select("u", "v", "a", "b")
+    n = pairs.count()
+    with_v = join_sliced(pairs, v_sets, "v", "m", F.col("u"), n).drop("m")
+    full = join_sliced(with_v, u_sets, "u", "m", F.col("v"), n).select("u", "v", "a", "b")
     return full.mapInArrow(compare, "u long, v long")
 
 
@@ -154,7 +155,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = cut(_marks(docs, width))
     # One text stands for all with its set: the smallest id, so its band keys and its size are theirs.
     stand = cut(marked.groupBy("whole").agg(F.min("doc_id").alias("stand"), F.count(F.lit(1)).alias("copies")))
-    placed = cut(join_sliced(marked.select("whole", "doc_id", "fp", "n"), stand, "whole", "copies", F.col("doc_id")).select("doc_id", "fp", "n", "stand"))
+    placed = cut(join_sliced(marked.select("whole", "doc_id", "fp", "n"), stand, "whole", "copies", F.col("doc_id"), marked.count()).select("doc_id", "fp", "n", "stand"))
     texts = cut(marked.join(stand.select(F.col("stand").alias("doc_id"), F.col("whole")), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id", "whole"]).select("doc_id", "fp", "n", "keys"))
     alike = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
 
@@ -163,17 +164,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = cut(texts.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")))
     edges = links(nodes.select("fp"), radius)
     linked = edges.join(nodes.select(F.col("fp").alias("u"), F.col("least_id").alias("_u")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("least_id").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    equal = join_sliced(texts.select("doc_id", "fp"), nodes, "fp", "size", F.col("doc_id")).select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
-    found = cut(_confirmed(docs, stars.unionByName(linked).unionByName(equal), width, least))
+    equal = join_sliced(texts.select("doc_id", "fp"), nodes, "fp", "size", F.col("doc_id"), texts.count()).select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
+    found = _confirmed(docs, stars.unionByName(linked).unionByName(equal), width, least)
     # Rows that share an id may have several sets; they are one document.
     same = placed.where("doc_id <> stand").select(F.col("doc_id").alias("u"), F.col("stand").alias("v"))
-    found = found.unionByName(same)
-    roots = cut(components(found))
+    roots = cut(components(found.unionByName(same)))
 
     for deal in range(DEALS + 1):
         now = shared.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "size", F.coalesce("root", "doc_id").alias("root"))
         open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("size").alias("m")).where("a < b").select("key", "m")
-        apart = cut(join_sliced(now, open_keys, "key", "m", F.col("doc_id")).drop("m"))
+        apart = cut(join_sliced(now, open_keys, "key", "m", F.col("doc_id"), shared.count()).drop("m"))
         if apart.isEmpty():
             break
         few = apart.where(F.col("size") <= FEW)
@@ -185,8 +185,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fresh = cut(_fresh_keys(docs.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), width, deal + 1).dropDuplicates(["doc_id"]))
             shared = _banded(large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n").select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n"))
             pairs = pairs.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
-        found = cut(found.unionByName(_confirmed(docs, pairs, width, least)))
-        roots = cut(components(found))
+        more = _confirmed(docs, pairs, width, least)
+        roots = cut(components(roots.select("u", F.col("root").alias("v")).unionByName(more)))
         if not again:
             break
     ids = marked.select("doc_id").distinct()

@@ -254,26 +254,43 @@ def links(fps: DataFrame, radius: int = 4, split: int = SPLIT, tree: int = TREE)
     return small.unionByName(second).unionByName(_search_tiles(tiles, radius))
 
 
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of one partition as stars: each node but the smallest of its component, and that one."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        label = _labels(len(nodes), at[: len(u)], at[len(u) :])
+        low = np.flatnonzero(label != np.arange(len(nodes)))
+        for k in range(0, len(low), 1 << 18):
+            yield _pairs(nodes[low[k : k + (1 << 18)]], nodes[label[low[k : k + (1 << 18)]]])
+
+
+def _flat(now: DataFrame) -> tuple[bool, int]:
+    """Whether the edges (u, v) are stars: each u once, and never as a centre. And their number."""
+    n, once = now.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return n == once and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty(), n
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, root) for every node of the edges (u, v), by alternating large and small stars; roots map to themselves.
 
-    A star's centre can have a large share of the edges: its rows are dealt out in slices.
+    Each partition first reduces its edges to stars. A star's centre can have a large share of
+    the edges: its rows are dealt out in slices.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state, n = None, now.count()
+    alone = edges.where("u <> v").select("u", "v").mapInArrow(contract, "u long, v long")
+    now = cut(alone.repartition("v").mapInArrow(contract, "u long, v long").distinct())
     size = F.count(F.lit(1)).alias("size")
     for _ in range(most_rounds):
+        done, n = _flat(now)
+        if done:
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("m"), size).select("u", F.least("u", "m").alias("m"), "size")
         large = join_sliced(both.where("v > u"), lows, "u", "size", F.col("v"), 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
         lows = large.groupBy("u").agg(F.min("v").alias("m"), size)
         small = join_sliced(large, lows, "u", "size", F.col("v"), 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lows.select("u", F.col("m").alias("v"))).distinct()
         now = cut(small)
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if state == tuple(seen):
-            break
-        state, n = tuple(seen), seen[0]
     else:
         raise RuntimeError("the components did not settle")
     return now.select("u", F.col("v").alias("root")).unionByName(now.select("v").distinct().select(F.col("v").alias("u"), F.col("v").alias("root")))
@@ -295,6 +312,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(edges).select(F.col("u").alias("fp"), "root")
     placed = cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    ids = cut(join_sliced(placed, least, "root", "members", F.col("fp")).select("fp", "component_id", "size"))
+    ids = cut(join_sliced(placed, least, "root", "members", F.col("fp"), placed.count()).select("fp", "component_id", "size"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return join_sliced(marked, ids, "fp", "size", F.col("doc_id")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return join_sliced(marked, ids, "fp", "size", F.col("doc_id"), marked.count()).select("doc_id", hexed.alias("fingerprint"), "component_id")
