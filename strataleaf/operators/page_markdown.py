@@ -204,7 +204,7 @@ def sections(pages: DataFrame) -> DataFrame:
 
 def _page_ends(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """A section ends on the last page before the one with the heading that closes it, or on the last page."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)  # later rows, as a frame that grows
     closing = None
     for k in range(1, 7):
         nxt = F.min(F.when(F.col("level") <= k, F.struct("pos", "page_start"))).over(w)

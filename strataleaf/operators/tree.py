@@ -20,7 +20,8 @@ def _before():
 
 
 def _after():
-    return Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, so that the frame grows row by row; one that shrinks would be gone through anew for every row.
+    return Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _by_level(value, levels: int = LEVELS) -> Column:

@@ -163,7 +163,7 @@ def doc_type_classify(spark: SparkSession, d: str) -> DataFrame:
     return X.load(spark, d, "documents").select("doc_id", T.document_type(F.col("text")).alias("doc_type"))
 
 
-@query(f"""{X.ctes('page_text', 'toc')}, {_RUNNING}, r AS (SELECT DISTINCT doc_id, page AS page_start, page + 1 AS text_end FROM page_text WHERE page % 2 = 1 AND doc_id % 5 = 0),
+@query(f"""{X.ctes('page_text', 'toc')}, {_RUNNING}, r AS (SELECT DISTINCT doc_id, page AS page_start, page + 1 AS text_end FROM page_text),
 f AS (SELECT doc_id, page, {_STRIP.format("text")} AS t FROM page_text WHERE {_STRIP.format("text")} <> ''),
 s AS (SELECT r.doc_id, r.page_start, f.page, f.t, coalesce(sum(length(f.t)) OVER (PARTITION BY r.doc_id, r.page_start ORDER BY f.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN f ON f.doc_id = r.doc_id AND f.page BETWEEN r.page_start AND r.text_end),
 j AS (SELECT doc_id, page_start, string_agg(t, chr(10) || chr(10) ORDER BY page) AS t FROM s WHERE before < 15000 GROUP BY 1, 2),
@@ -174,7 +174,7 @@ SELECT r.doc_id, r.page_start AS pos, coalesce(CASE WHEN length(t) > 15000 THEN
 def range_texts(spark: SparkSession, d: str) -> DataFrame:
     """Text of page ranges, cut at the budget."""
     found = X.page_text(X.doc_lines(spark, d))
-    ranges = found.where("page % 2 = 1 AND doc_id % 5 = 0").select("doc_id", F.col("page").alias("pos"), F.col("page").alias("page_start"), (F.col("page") + 1).alias("text_end")).distinct()
+    ranges = found.select("doc_id", F.col("page").alias("pos"), F.col("page").alias("page_start"), (F.col("page") + 1).alias("text_end")).distinct()
     return pages.range_texts(ranges, found, pages.running_lines(found))
 
 
@@ -315,12 +315,12 @@ def _nodes(spark, d):
     return tree.build(_outline(spark, d), levels=3)
 
 
-@query(f"""{_TOC_TREE}, q AS (SELECT DISTINCT doc_id, unnest(range(1, total_pages + 1))::INT AS page FROM toc_totals WHERE doc_id % 3 = 0),
+@query(f"""{_TOC_TREE}, q AS (SELECT DISTINCT doc_id, unnest(range(1, total_pages + 1))::INT AS page FROM toc_totals),
 m AS (SELECT q.doc_id, q.page, n.pos, n.id, n.section_id, n.depth, row_number() OVER (PARTITION BY q.doc_id, q.page ORDER BY n.depth DESC, n.pos) AS k FROM q JOIN nodes n ON n.doc_id = q.doc_id AND q.page BETWEEN n.page_start AND n.page_end)
 SELECT doc_id, page, pos, id, section_id, depth FROM m WHERE k = 1""")
 def deepest_node(spark: SparkSession, d: str) -> DataFrame:
     """The deepest section on each page."""
-    asked = X.toc_totals(X.toc(spark, d)).where("doc_id % 3 = 0").select("doc_id", F.explode(F.sequence(F.lit(1), "total_pages")).alias("page"))
+    asked = X.toc_totals(X.toc(spark, d)).select("doc_id", F.explode(F.sequence(F.lit(1), "total_pages")).alias("page"))
     return tree.deepest_for_page(_nodes(spark, d), asked)
 
 
@@ -488,7 +488,7 @@ def figure_captions(spark: SparkSession, d: str) -> DataFrame:
     return images.figure_captions(X.images(spark, d), X.words(_spans(spark, d)), ["doc_id", "page", "n"])
 
 
-@query(f"""{X.ctes('images', 'words')}, t AS (SELECT doc_id, page, 60.0::DOUBLE AS x0, 85.0::DOUBLE AS y0, 240.0::DOUBLE AS x1, 300.0::DOUBLE AS y1 FROM (SELECT DISTINCT doc_id, page FROM images WHERE doc_id % 2 = 0)),
+@query(f"""{X.ctes('images', 'words')}, t AS (SELECT doc_id, page, 60.0::DOUBLE AS x0, 85.0::DOUBLE AS y0, 240.0::DOUBLE AS x1, 300.0::DOUBLE AS y1 FROM (SELECT DISTINCT doc_id, page FROM images)),
 c AS (SELECT doc_id, page, n, greatest(x0 - 3.0::DOUBLE, 0) AS x0, greatest(y0 - 3.0::DOUBLE, 0) AS y0, least(x1 + 3.0::DOUBLE, 612.0::DOUBLE) AS x1, least(y1 + 3.0::DOUBLE, 792.0::DOUBLE) AS y1 FROM images),
 big AS (SELECT * FROM c WHERE (x1 - x0) * (y1 - y0) / 484704.0::DOUBLE >= 0.03::DOUBLE),
 o AS (SELECT b.doc_id, b.page, b.n, greatest(least(b.x1, t.x1) - greatest(b.x0, t.x0), 0) * greatest(least(b.y1, t.y1) - greatest(b.y0, t.y0), 0) AS i, (b.x1 - b.x0) * (b.y1 - b.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) AS s FROM big b JOIN t USING (doc_id, page)),
@@ -498,7 +498,7 @@ SELECT doc_id, page, n, 'p' || page || '_vec_' || row_number() OVER (PARTITION B
 def vector_filter(spark: SparkSession, d: str) -> DataFrame:
     """Drawings that are figures."""
     clusters = X.images(spark, d)
-    found = clusters.where("doc_id % 2 = 0").select("doc_id", "page").distinct().withColumns({"x0": F.lit(60.0), "y0": F.lit(85.0), "x1": F.lit(240.0), "y1": F.lit(300.0)})
+    found = clusters.select("doc_id", "page").distinct().withColumns({"x0": F.lit(60.0), "y0": F.lit(85.0), "x1": F.lit(240.0), "y1": F.lit(300.0)})
     return images.diagrams(clusters, found, X.words(_spans(spark, d))).select("doc_id", "page", "n", "filename")
 
 
@@ -639,22 +639,22 @@ def lines_from_runs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("line_in_block").alias("line_no"), "text", "font_size", "is_bold", "is_caps")
 
 
-@query(f"""{X.ctes('images', 'words')}, t AS (SELECT doc_id, page, n, x0, y0, x1, y1 FROM images WHERE n % 3 = 0),
+@query(f"""{X.ctes('images', 'words')}, t AS (SELECT doc_id, page, n, x0, y0, x1, y1 FROM images),
 c AS (SELECT t.doc_id, t.page, t.n, string_agg(w.word, ' ' ORDER BY w.word_no, w.word) FILTER (WHERE least(w.y1, t.y0) > greatest(w.y0, greatest(t.y0 - 40.0::DOUBLE, 0))) AS above, string_agg(w.word, ' ' ORDER BY w.word_no, w.word) FILTER (WHERE least(w.y1, t.y1 + 40.0::DOUBLE) > greatest(w.y0, t.y1)) AS below
  FROM t JOIN words w ON w.doc_id = t.doc_id AND w.page = t.page AND least(w.x1, t.x1) > greatest(w.x0, t.x0) GROUP BY 1, 2, 3)
 SELECT t.doc_id, t.page, t.n AS place, CASE WHEN regexp_matches(coalesce(above, ''), '(?i)figure\\s*\\d+') THEN above WHEN regexp_matches(coalesce(below, ''), '(?i)figure\\s*\\d+') THEN below ELSE '' END AS caption FROM t LEFT JOIN c USING (doc_id, page, n)""")
 def table_captions(spark: SparkSession, d: str) -> DataFrame:
     """Captions above or below tables; the fixture's captions say Figure, so the words are renamed on the way."""
-    found = X.images(spark, d).where("n % 3 = 0").withColumnRenamed("n", "place")
+    found = X.images(spark, d).withColumnRenamed("n", "place")
     words = X.words(_spans(spark, d)).withColumn("word", F.when(F.col("word") == "Figure", "Table").otherwise(F.col("word")))
     return tables.captions(found, words).withColumn("caption", F.regexp_replace("caption", r"\bTable\b", "Figure"))
 
 
-@query(f"""{X.ctes('table_grid')}, c AS (SELECT doc_id, list_transform(data, lambda r: list_transform(r, lambda x: replace(trim(regexp_replace(x, ' {{2,}}', ' ', 'g')), '|', '\\|'))) AS rows FROM table_grid WHERE doc_id % 4 = 1)
+@query(f"""{X.ctes('table_grid')}, c AS (SELECT doc_id, list_transform(data, lambda r: list_transform(r, lambda x: replace(trim(regexp_replace(x, ' {{2,}}', ' ', 'g')), '|', '\\|'))) AS rows FROM table_grid)
 SELECT doc_id, 1 AS page, 'p1_t1' AS table_id, 7 AS pos, array_to_string(rows[1], '~') AS headers, len(rows) - 1 AS n_rows, array_to_string(flatten(rows[2:9]), '~') AS preview, CASE WHEN len(rows) > 9 THEN '… ' || (len(rows) - 9) || ' more rows' ELSE '' END AS note FROM c""")
 def table_attachment(spark: SparkSession, d: str) -> DataFrame:
     """Tables with identifiers, sections and previews."""
-    grids = X.table_grid(spark, d).where("doc_id % 4 = 1").select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("place"), "data")
+    grids = X.table_grid(spark, d).select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("place"), "data")
     deepest = grids.select("doc_id", "page", F.lit(7).alias("pos"))
     rows = render.table_preview(tables.attach(grids, deepest))
     return rows.select("doc_id", "page", "table_id", "pos", F.array_join("headers", "~").alias("headers"), F.size("rows").cast("long").alias("n_rows"), F.array_join(F.flatten("preview"), "~").alias("preview"), "note")
@@ -683,10 +683,10 @@ def marker_insertion(spark: SparkSession, d: str) -> DataFrame:
     return images.insert_markers(rows, figures).select(F.col("pos").alias("item_id"), "text")
 
 
-@query(f"{X.ctes('spans')} SELECT doc_id, line_no, regexp_extract(text, '^\\s*([0-9]+(\\.[0-9]+)*)', 1) AS section_id FROM spans WHERE line_no % 5 = 0")
+@query(f"{X.ctes('spans')} SELECT doc_id, line_no, regexp_extract(text, '^\\s*([0-9]+(\\.[0-9]+)*)', 1) AS section_id FROM spans")
 def heading_sections(spark: SparkSession, d: str) -> DataFrame:
     """Section numbers that headings start with."""
-    return _spans(spark, d).where("line_no % 5 = 0").select("doc_id", "line_no", render.section_of_heading(F.col("text")).alias("section_id"))
+    return _spans(spark, d).select("doc_id", "line_no", render.section_of_heading(F.col("text")).alias("section_id"))
 
 
 @query(f"{X.ctes('files')} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '/asset/j' || doc_id || '/assets/' || doc_id ELSE 'other/' || doc_id END AS url, doc_id % 3 <> 0 AS inside FROM files")

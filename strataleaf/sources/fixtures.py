@@ -85,7 +85,7 @@ def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_candidates(grids: DataFrame) -> DataFrame:
     """(doc_id, page, n, method, x0, y0, x1, y1, data): three strategies' finds of each table, shifted a little or far."""
     found = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(s)).alias("s")) for m, s in (("lines", 0), ("text", 4), ("mixed", 40))]))
-    rows = grids.where(F.col("doc_id") % 3 == 0).select("doc_id", found.alias("f"), "data")
+    rows = grids.select("doc_id", found.alias("f"), "data")
     shift = F.col("f.s") * (F.col("doc_id") % 4)
     return rows.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("n"), F.col("f.method").alias("method"), (60.0 + shift).alias("x0"), F.lit(100.0).alias("y0"), (360.0 + shift).alias("x1"), F.lit(300.0).alias("y1"), "data")
 
@@ -100,7 +100,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(lines: DataFrame) -> DataFrame:
     """(doc_id, page, word_no, x0, y0, x1, y1, word) of spans, a fixed advance for each word; one line in six reads like a caption."""
     text = F.when(F.col("line_no") % 6 == 3, F.concat(F.lit("Figure "), F.col("line_no").cast("string"), F.lit(" "), "text")).otherwise(F.col("text"))
-    rows = lines.select("doc_id", "page", "line_no", "x0", "y0", F.posexplode(F.slice(F.split(text, " "), 1, 12)).alias("k", "word")).where("word <> ''")
+    rows = lines.select("doc_id", "page", "line_no", "x0", "y0", F.posexplode(F.split(text, " ")).alias("k", "word")).where("word <> ''")
     return rows.select("doc_id", "page", (F.col("line_no") * 100 + F.col("k")).alias("word_no"), (F.col("x0") + F.col("k") * 20.0).alias("x0"), "y0", (F.col("x0") + F.col("k") * 20.0 + 18.0).alias("x1"), (F.col("y0") + 10.0).alias("y1"), "word")
 
 
@@ -141,12 +141,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
 SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS r,
  ['Part ' || l_partkey, CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE 'qty ' || l_quantity::INT END, CASE WHEN l_suppkey % 4 = 0 AND l_partkey % 2 = 0 THEN '' ELSE 'no|' || l_linenumber || '  x' END] AS cells FROM lineitem) GROUP BY doc_id""",
     "table_candidates": """SELECT doc_id, 1 AS page, m.method AS method, m.seq AS seq, 60.0::DOUBLE + m.s * (doc_id % 4) AS x0, 100.0::DOUBLE AS y0, 360.0::DOUBLE + m.s * (doc_id % 4) AS x1, 300.0::DOUBLE AS y1, data
-FROM table_grid, (VALUES ('lines', 1, 0.0::DOUBLE), ('text', 2, 4.0::DOUBLE), ('mixed', 3, 40.0::DOUBLE)) AS m(method, seq, s) WHERE doc_id % 3 = 0""",
+FROM table_grid, (VALUES ('lines', 1, 0.0::DOUBLE), ('text', 2, 4.0::DOUBLE), ('mixed', 3, 40.0::DOUBLE)) AS m(method, seq, s)""",
     "images": """SELECT p_partkey % 50 AS doc_id, (p_partkey % 4 + 1)::INT AS page, p_partkey AS n, p_partkey % 700 AS xref, (40 + 10 * p_size)::INT AS width_px, (60 + p_partkey % 400)::INT AS height_px, (1 + p_partkey % 8)::INT AS bpc,
  ((p_partkey % 5) * 60.0)::DOUBLE AS x0, ((p_partkey % 9) * 85.0)::DOUBLE AS y0, ((p_partkey % 5) * 60.0 + 40.0 + (p_partkey % 7) * 40.0)::DOUBLE AS x1, ((p_partkey % 9) * 85.0 + 30.0 + (p_partkey % 11) * 25.0)::DOUBLE AS y1 FROM part""",
     "words": """SELECT doc_id, page, line_no * 100 + k AS word_no, x0 + k * 20.0::DOUBLE AS x0, y0, x0 + k * 20.0::DOUBLE + 18.0::DOUBLE AS x1, y0 + 10.0::DOUBLE AS y1, word FROM (
 SELECT doc_id, page, line_no, x0, y0, unnest(range(len(ws))) AS k, unnest(ws) AS word FROM (
-SELECT *, string_split(CASE WHEN line_no % 6 = 3 THEN 'Figure ' || line_no || ' ' || text ELSE text END, ' ')[1:12] AS ws FROM spans)) WHERE word <> ''""",
+SELECT *, string_split(CASE WHEN line_no % 6 = 3 THEN 'Figure ' || line_no || ' ' || text ELSE text END, ' ') AS ws FROM spans)) WHERE word <> ''""",
     "files": """SELECT c_custkey AS doc_id, 'in/file' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN upper(s) ELSE s END AS path, (c_custkey * c_custkey * 977) % 700000000 AS size_bytes
 FROM (SELECT *, ['.pdf','.docx','.doc','.html','.htm','.md','.markdown','.epub','.pptx','.ppt','.png','.jpg','.jpeg','.tiff','.tif','.txt',''][(c_custkey % 17 + 1)::INT] AS s FROM customer)""",
     "job_events": """SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'submitted' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'progress' END AS event, floor(value)::INT AS progress_page FROM events""",
