@@ -8,7 +8,7 @@ none with a chance of 3 in a million, one at 0.9 with less than 1 in 10^12.
 Members of a band are first compared with its smallest id, which joins most of them. Bands
 whose members still lie in several components are then gone through: in one of at most FEW
 members, pairs of different components are compared; a larger one is dealt out again by 32
-fresh bands, so that no band ever makes all its pairs.
+fresh bands, which are gone through in the same way, so that no large band makes all its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ ROWS, BANDS = 5, 32
 #: Members of a band up to which its pairs of different components are compared.
 FEW = 64
 #: Times that large bands are dealt out again.
-DEALS = 3
+DEALS = 1
 SHINGLES_SCHEMA = "doc_id long, shingles binary"
 
 
@@ -108,11 +108,11 @@ def _fresh_keys(docs: DataFrame, width: int, deal: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fresh array<long>")
 
 
-def _banded(members: DataFrame) -> DataFrame:
+def _banded(members: DataFrame, total: int) -> DataFrame:
     """(key, doc_id, n, size, first) of the bands (key, doc_id, n) with two members or more; first is the smallest id."""
     members = cut(members)
     bands = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first")).where(F.col("size") > 1)
-    return cut(join_sliced(members, bands, "key", "size", F.col("doc_id"), members.count()))
+    return cut(join_sliced(members, bands, "key", "size", F.col("doc_id"), total))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -155,16 +155,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = cut(_marks(docs, width))
     # One text stands for all with its set: the smallest id, so its band keys and its size are theirs.
     stand = cut(marked.groupBy("whole").agg(F.min("doc_id").alias("stand"), F.count(F.lit(1)).alias("copies")))
-    placed = cut(join_sliced(marked.select("whole", "doc_id", "fp", "n"), stand, "whole", "copies", F.col("doc_id"), marked.count()).select("doc_id", "fp", "n", "stand"))
+    placed = join_sliced(marked.select("whole", "doc_id"), stand, "whole", "copies", F.col("doc_id"))
     texts = cut(marked.join(stand.select(F.col("stand").alias("doc_id"), F.col("whole")), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id", "whole"]).select("doc_id", "fp", "n", "keys"))
     alike = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
 
-    shared = _banded(texts.select(F.explode("keys").alias("key"), "doc_id", "n"))
+    n_texts = texts.count()
+    shared = _banded(texts.select(F.explode("keys").alias("key"), "doc_id", "n"), BANDS * n_texts)
     stars = shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     nodes = cut(texts.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")))
     edges = links(nodes.select("fp"), radius)
     linked = edges.join(nodes.select(F.col("fp").alias("u"), F.col("least_id").alias("_u")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("least_id").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    equal = join_sliced(texts.select("doc_id", "fp"), nodes, "fp", "size", F.col("doc_id"), texts.count()).select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
+    equal = join_sliced(texts.select("doc_id", "fp"), nodes, "fp", "size", F.col("doc_id"), n_texts).select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
     found = _confirmed(docs, stars.unionByName(linked).unionByName(equal), width, least)
     # Rows that share an id may have several sets; they are one document.
     same = placed.where("doc_id <> stand").select(F.col("doc_id").alias("u"), F.col("stand").alias("v"))
@@ -173,17 +174,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for deal in range(DEALS + 1):
         now = shared.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "size", F.coalesce("root", "doc_id").alias("root"))
         open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("size").alias("m")).where("a < b").select("key", "m")
-        apart = cut(join_sliced(now, open_keys, "key", "m", F.col("doc_id"), shared.count()).drop("m"))
-        if apart.isEmpty():
+        apart = cut(join_sliced(now, open_keys, "key", "m", F.col("doc_id"), BANDS * n_texts).drop("m"))
+        n_apart, n_large = apart.agg(F.count(F.lit(1)), F.count_if(F.col("size") > FEW)).first()
+        if not n_apart:
             break
         few = apart.where(F.col("size") <= FEW)
         other = few.select("key", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("root").alias("_root"))
         pairs = few.withColumnRenamed("doc_id", "u").join(other, "key").where((F.col("root") < F.col("_root")) & alike).select("u", "v")
         large = apart.where(F.col("size") > FEW)
-        again = deal < DEALS and not large.isEmpty()
+        again = deal < DEALS and n_large > 0
         if again:
             fresh = cut(_fresh_keys(docs.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), width, deal + 1).dropDuplicates(["doc_id"]))
-            shared = _banded(large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n").select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n"))
+            shared = _banded(large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n").select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n"), BANDS * n_large)
             pairs = pairs.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
         more = _confirmed(docs, pairs, width, least)
         roots = cut(components(roots.select("u", F.col("root").alias("v")).unionByName(more)))

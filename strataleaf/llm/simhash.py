@@ -268,8 +268,10 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _flat(now: DataFrame) -> tuple[bool, int]:
     """Whether the edges (u, v) are stars: each u once, and never as a centre. And their number."""
-    n, once = now.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
-    return n == once and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty(), n
+    ends = now.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("top")))
+    nodes = ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
+    most, both, n = nodes.agg(F.max("low"), F.max(F.when(F.col("low") > 0, F.col("top")).otherwise(0)), F.sum("low")).first()
+    return (most or 0) <= 1 and not both, n or 0
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
