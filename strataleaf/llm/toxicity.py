@@ -44,6 +44,8 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){3,}(?![^\W\d_])")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W\d_].*[0-9@$!|+€£(\-_.*].*[^\W\d_]|[0-9@$!|+€£(].*[^\W\d_].*[^\W\d_]")
+#: Addresses and digests: what looks like a disguise in them is none.
+_PLAIN = re.compile(r"[\w.+-]{2,}@(?:[\w-]{2,}\.)+[a-z]{2,}|[0-9a-f]{16,}|(?:https?://|www\.).*")
 _LETTER = re.compile(r"[^\W\d_]")
 _TRIM = ".,;:!?\"'()[]{}<>*#%&|~`^=/\\„“”‚‘’«»…-_"
 
@@ -127,8 +129,8 @@ class Decoder:
         """The cheapest reading of a lower-case word; letters, substitutes and separators in it span the lattice."""
         if word in self.known:
             return self.known[word]
-        # State: the last two symbols and whether the last letter came from the character before.
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        # A state is the last two symbols; it holds its price and its reading as a chain (rest, letter).
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         before = ""
         codes = symbols(word).tolist()
         for k, (ch, code) in enumerate(zip(word, codes, strict=True)):
@@ -139,20 +141,25 @@ class Decoder:
                 readings.append((r, ord(r) - 97, SWAP))
             drawn = ch == before and (word[k - 2 : k] == ch * 2 or word[k + 1 : k + 2] == ch)
             drop = REPEAT if drawn else (LOSE if ch in LEET else SKIP) if code == EDGE else None
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (price, text) in states.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (price, chain) in states.items():
                 row = self.prices[a][b]
                 for r, c, p in readings:
                     total = price + p + row[c]
                     if (b, c) not in new or total < new[b, c][0]:
-                        new[b, c] = (total, text + r)
+                        new[b, c] = (total, (chain, r))
                 if drop is not None:
                     total = price + drop
                     if (a, b) not in new or total < new[a, b][0]:
-                        new[a, b] = (total, text)
-            states = dict(sorted(new.items(), key=lambda s: s[1][0])[:64]) or states
+                        new[a, b] = (total, chain)
+            states = new or states
             before = ch
-        best = min(states.items(), key=lambda s: s[1][0] + self.prices[s[0][0]][s[0][1]][EDGE])[1][1]
+        chain = min(states.items(), key=lambda s: s[1][0] + self.prices[s[0][0]][s[0][1]][EDGE])[1][1]
+        letters = []
+        while chain is not None:
+            chain, letter = chain
+            letters.append(letter)
+        best = "".join(reversed(letters))
         if len(self.known) < 200_000:
             self.known[word] = best
         return best
@@ -165,6 +172,9 @@ class Decoder:
             core = word.strip(_TRIM)
             if not core:
                 continue
+            if not core.isalpha() and _PLAIN.fullmatch(core):
+                out.append(core)
+                continue
             if not core.isalpha() and _MIXED.search(core) or _DRAWN.search(core):
                 core = self.decode(core)
             elif (word[0] in LEET or word[-1] in LEET) and _LETTER.search(core):
@@ -232,7 +242,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     id is not held out and has no label. At most ``sample`` labelled rows, those with the
     smallest hash of the id, teach the model; the language model counts all documents.
     Null and empty texts get the score of a text without features. Without labels, or with
-    labels of one kind only, scores rest on the label share. Repeated rows get one score
+    labels of one kind only, scores rest on the label share. Very long texts and words are
+    read as a whole, in time that grows with their length. Repeated rows get one score
     each. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
