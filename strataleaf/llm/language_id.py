@@ -7,7 +7,8 @@ A row's posterior combines
 * the language that its markup declares and the suffix of its address, with reliabilities
   counted against what the texts alone say;
 * a prior for its host, smoothed towards its registered domain, that towards its suffix, and
-  that towards all rows: grouped counts of the texts' own verdicts, at each level.
+  that towards all rows: grouped counts of the verdicts of the other texts, at each level. A
+  country's suffix is evidence of its own, so it is no level here: countries share one.
 
 Texts stay where they are read; only narrow evidence rows are shuffled.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import UPPER, cut
+from strataleaf.llm.common import UPPER, cut, join_sliced
 
 #: Labelled rows per language that the trigram models are fitted on, at most.
 SAMPLE = 1_500
@@ -99,25 +100,29 @@ def _log(share: Column) -> Column:
     return F.log(F.greatest(share, F.lit(1e-9)))
 
 
-def _smoothed(rows: DataFrame, levels: list[str], languages: list[str]) -> DataFrame:
-    """levels[0] -> prior of each language (p_0, p_1, ...), each level smoothed towards the next, the last towards all rows."""
-    sums = [F.sum(f"v_{k}").alias(f"n_{k}") for k in range(len(languages))]
-    every = rows.agg(*sums).first()
-    total = sum(x or 0.0 for x in every)
-    top = [((x or 0.0) + 1.0) / (total + len(languages)) for x in every]
+LEVELS = ("host", "domain", "generic")
+
+
+def _counted(rows: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
+    """host, size, and counts of each language by host, domain and generic suffix (host_0, ...), one row a host; and those of all rows."""
+    hosts = cut(rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("size"), *[F.sum(f"v_{k}").alias(f"host_{k}") for k in range(n)]))
     # Counts by host come first: all levels above are sums over hosts, not over rows.
-    hosts = cut(rows.groupBy(*levels).agg(*sums))
-    prior = None
-    for level in reversed(range(len(levels))):
-        keys = levels[level:]
-        own = hosts.groupBy(*keys).agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in range(len(languages))])
-        n = sum((F.col(f"n_{k}") for k in range(len(languages))), F.lit(0.0))
-        if prior is None:
-            above = [F.lit(x) for x in top]
-        else:
-            own = own.join(prior, levels[level + 1 :])
-            above = [F.col(f"p_{k}") for k in range(len(languages))]
-        prior = own.select(*keys, *[((F.col(f"n_{k}") + SMOOTH * above[k]) / (n + SMOOTH)).alias(f"p_{k}") for k in range(len(languages))])
+    number, *totals = hosts.agg(F.count(F.lit(1)), *[F.sum(f"host_{k}") for k in range(n)]).first()
+    out = hosts
+    for level in LEVELS[1:]:
+        above = hosts.groupBy(level).agg(F.count(F.lit(1)).alias("hosts"), *[F.sum(f"host_{k}").alias(f"{level}_{k}") for k in range(n)])
+        out = join_sliced(out, above, level, "hosts", F.col("host"), number).drop("hosts")
+    return cut(out.drop(*LEVELS[1:])), [x or 0.0 for x in totals]
+
+
+def _priors(totals: list[float]) -> list[Column]:
+    """Prior of each language for a row with the counts of _counted, its own verdict (v_0, ...) left out at each level."""
+    n = len(totals)
+    prior = [(F.greatest(F.lit(x) - F.col(f"v_{k}"), F.lit(0.0)) + 1) / F.lit(max(sum(totals) - 1, 0.0) + n) for k, x in enumerate(totals)]
+    for level in reversed(LEVELS):
+        others = [F.greatest(F.col(f"{level}_{k}") - F.col(f"v_{k}"), F.lit(0.0)) for k in range(n)]
+        seen = sum(others[1:], others[0])
+        prior = [(x + SMOOTH * p) / (seen + SMOOTH) for x, p in zip(others, prior, strict=True)]
     return prior
 
 
@@ -139,7 +144,7 @@ def identify(rows: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
     the id; rows without a language teach nothing. Null and empty texts, and texts without a
     letter, leave the decision to the other evidence, and in the end to the prior of all
     rows. Ties go to the language that comes first in the alphabet. A null host or source is
-    a host of its own. Repeated rows get one answer each. Without labelled rows, or for an
+    a host of its own. A very long text is read as a whole. Repeated rows get one answer each. Without labelled rows, or for an
     empty table, the languages are null or the result is empty. Other columns are ignored.
     """
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -161,16 +166,20 @@ def identify(rows: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
 
     read_rows = rows.select("doc_id", "page_id", "content", "markup", "declared", "host").mapInArrow(read, "doc_id long, page_id long, declared string, host string, ll array<double>")
     n = len(languages)
-    read_rows = read_rows.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
+    suffix = F.substring_index("host", ".", -1)
+    country = F.when(suffix.rlike("^[a-z]{2}$") & F.contains("host", F.lit(".")), suffix)
+    read_rows = read_rows.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("country", country)
+    read_rows = read_rows.withColumn("generic", F.when(F.col("country").isNull(), suffix).otherwise(F.lit("")))
     weights = [F.exp(F.get("ll", F.lit(k))) for k in range(n)]
     whole = sum(weights[1:], weights[0])
     marked = cut(read_rows.select("*", *[(w / whole).alias(f"v_{k}") for k, w in enumerate(weights)]))
-    joined = marked.join(_smoothed(marked, ["host", "domain", "suffix"], languages), ["host", "domain", "suffix"])
+    counted, totals = _counted(marked, n)
+    # One host can have a large share of the rows: they are dealt out in slices.
+    joined = join_sliced(marked.drop("domain", "generic"), counted, "host", "size", F.xxhash64("doc_id", "page_id"), round(sum(totals)))
+    joined = joined.select("doc_id", "page_id", "declared", "country", "ll", *[p.alias(f"p_{k}") for k, p in enumerate(_priors(totals))])
     # Declared languages have two or three letters and country suffixes two: both tables are bounded.
-    joined = joined.join(F.broadcast(_reliability(marked, "declared", languages)), "declared", "left")
-    # The suffix speaks through the priors where it is generic; a country's suffix also declares a language.
-    country = marked.withColumn("country", F.when(F.col("suffix").rlike("^[a-z]{2}$"), F.col("suffix")))
-    joined = joined.withColumn("country", F.when(F.col("suffix").rlike("^[a-z]{2}$"), F.col("suffix"))).join(F.broadcast(_reliability(country, "country", languages)), "country", "left")
+    for evidence in ("declared", "country"):
+        joined = joined.join(F.broadcast(_reliability(marked, evidence, languages)), evidence, "left")
     logs = [F.get("ll", F.lit(k)) + _log(F.col(f"p_{k}")) + F.coalesce(F.col(f"declared_{k}"), F.lit(0.0)) + F.coalesce(F.col(f"country_{k}"), F.lit(0.0)) for k in range(n)]
     names = F.array(*[F.lit(x) for x in languages])
     joined = joined.select("doc_id", "page_id", "declared", "ll", F.array(*logs).alias("logs"))
