@@ -1,7 +1,11 @@
 """Language ID, mixing, toxicity, URL filters, packing and HTML extraction."""
 
 import html as html_lib
+import itertools
+import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataleaf.llm import common
 from strataleaf.llm import html_extract as H
 from strataleaf.llm import language_id as I
 from strataleaf.llm import mixing as M
@@ -73,6 +78,53 @@ def test_markup_and_host_decide_where_the_text_is_silent(spark, small_docs):
     assert got[100] == "fr" and got[101] == "fr"
 
 
+@pytest.mark.parametrize("hot", [256, 2])  # hosts that are dealt out in slices
+def test_language_matches_a_model(spark, small_docs, monkeypatch, hot):
+    """The whole result against a model with loops: evidence, and priors that leave the row itself out."""
+    monkeypatch.setattr(common, "HOT_MIN", hot)
+    rng = random.Random(4)
+    taught = small_docs.where("doc_id % 2 = 0")
+    texts = {x: [r["text"][:200] for r in small_docs.where(F.col("lang") == x).limit(20).collect()] for x in ("de", "en", "es", "fr")}
+    hosts = ["a.one.com", "b.one.com", "two.com", "x.three.de", "y.three.de", "four.fr", "localhost", "de"]
+    made = []
+    for k in range(120):
+        host, lang = rng.choice(hosts), rng.choice(sorted(texts))
+        declared = f"<html lang={rng.choice(['de', 'en', lang])}>" if k % 3 else "<html>"
+        made.append((k, f"http://{host}/{k}", declared + rng.choice(["12", "und", rng.choice(texts[lang])[: rng.choice([8, 40, 200])]])))
+    got = {r["page_id"]: r for r in I.identify(I.page_rows(spark.createDataFrame(made, "page_id long, url string, html string")), taught, sample=10**6).collect()}
+
+    known = taught.where("lang IS NOT NULL AND text IS NOT NULL")
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    profiles = I.fit_profiles(known, languages)
+    rows, n = [], len(languages)
+    for k, url, html in made:
+        ll = I.likelihoods(profiles, html, True)
+        host = url.split("/")[2]
+        end = host.split(".")[-1]
+        country = end if "." in host and len(end) == 2 else None
+        declared = re.search(r"lang=(\w+)", html)
+        share = [math.exp(x) / sum(map(math.exp, ll)) for x in ll]
+        rows.append((k, ll, share, ("all", host, ".".join(host.split(".")[-2:]), "" if country else end), declared and declared[1], country))
+
+    def chance(at, value, lang):
+        own = [r for r in rows if r[at] == value]
+        seen = [r for r in rows if r[at] is not None]
+        part = (sum(sum(r[2]) for r in own) + 1) / (sum(sum(r[2]) for r in seen) + 1)
+        return (sum(r[2][lang] for r in own) + I.SMOOTH * part) / (sum(r[2][lang] for r in seen) + I.SMOOTH)
+
+    for row in rows:
+        others = [r for r in rows if r is not row]
+        prior = [(sum(r[2][k] for r in others) + 1) / (len(others) + n) for k in range(n)]
+        for level in (3, 2, 1):
+            near = [r for r in others if r[3][level] == row[3][level]]
+            prior = [(sum(r[2][k] for r in near) + I.SMOOTH * prior[k]) / (len(near) + I.SMOOTH) for k in range(n)]
+        logs = [row[1][k] + math.log(prior[k]) + sum(math.log(chance(at, row[at], k)) for at in (4, 5) if row[at]) for k in range(n)]
+        best = max(range(n), key=lambda k: logs[k])
+        found = got[row[0]]
+        assert found["lang"] == languages[best] and found["declared"] == row[4]
+        assert found["confidence"] == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs), abs=1e-6)
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 
@@ -142,6 +194,47 @@ def test_decoding_leaves_plain_text(decoder):
     assert decoder.restore("") == [] and decoder.restore("!!! ### 12") == ["12"]
 
 
+def readings(word):
+    """All readings of a word with their channel prices, symbol by symbol."""
+    parts = []
+    for k, ch in enumerate(word):
+        code = int(X.symbols(ch)[0])
+        options = [(ch, X.CLEAN)] if code != X.EDGE else []
+        options += [(r, X.SWAP) for r in X.LEET.get(ch, "")]
+        if k and ch == word[k - 1] and (k > 1 and word[k - 2] == ch or word[k + 1 : k + 2] == ch):
+            options.append(("", X.REPEAT))
+        elif code == X.EDGE:
+            options.append(("", X.LOSE if ch in X.LEET else X.SKIP))
+        parts.append(options)
+    for choice in itertools.product(*parts):
+        yield "".join(r for r, _ in choice), sum(p for _, p in choice)
+
+
+def test_decoding_finds_the_cheapest_of_all_readings(decoder):
+    def price(text):
+        s = [X.EDGE, X.EDGE, *X.symbols(text).tolist()]
+        return sum(decoder.prices[a][b][c] for a, b, c in zip(s, s[1:], [*s[2:], X.EDGE], strict=False))
+
+    rng = random.Random(5)
+    for _ in range(150):
+        word = "".join(rng.choice("aeilost0135@$!|.-xä") * rng.choice([1, 1, 1, 3]) for _ in range(5))
+        costs = {}
+        for text, paid in readings(word):
+            costs[text] = min(costs.get(text, math.inf), paid + price(text))
+        assert costs[decoder.decode(word)] == pytest.approx(min(costs.values()))
+
+
+def test_long_words_are_read_as_a_whole(decoder):
+    began = time.perf_counter()
+    assert len(decoder.decode("w0rthl3ss" * 10_000)) == 90_000
+    assert time.perf_counter() - began < 60
+
+
+def test_addresses_and_digests_stay(decoder):
+    words = ["und.34@mail7.example.com", "d41d8cd98f00b204e9800998ecf8427e", "https://a.example/l0ser"]
+    assert decoder.restore(" ".join(words)) == words
+
+
 def test_corpus_counts_grow_with_the_input(small_docs):
     whole = X.corpus_model(small_docs.select("text"))
     assert whole.sum() > 1.5 * X.corpus_model(small_docs.where("doc_id % 2 = 0").select("text")).sum()
