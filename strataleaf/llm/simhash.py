@@ -277,11 +277,12 @@ def _flat(now: DataFrame) -> tuple[bool, int]:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, root) for every node of the edges (u, v), by alternating large and small stars; roots map to themselves.
 
-    Each partition first reduces its edges to stars. A star's centre can have a large share of
-    the edges: its rows are dealt out in slices.
+    Each partition first reduces its edges to stars, which name a node beside the centre once;
+    edges of a node then meet, at most one from each partition, and join their centres. A
+    star's centre can have a large share of the edges: its rows are dealt out in slices.
     """
     alone = edges.where("u <> v").select("u", "v").mapInArrow(contract, "u long, v long")
-    now = cut(alone.repartition("v").mapInArrow(contract, "u long, v long").distinct())
+    now = cut(alone.repartition("u").mapInArrow(contract, "u long, v long").distinct())
     size = F.count(F.lit(1)).alias("size")
     for _ in range(most_rounds):
         done, n = _flat(now)
