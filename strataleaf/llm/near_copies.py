@@ -8,7 +8,9 @@ none with a chance of 3 in a million, one at 0.9 with less than 1 in 10^12.
 Members of a band are first compared with its smallest id, which joins most of them. Bands
 whose members still lie in several components are then gone through: in one of at most FEW
 members, pairs of different components are compared; a larger one is dealt out again by 32
-fresh bands, which are gone through in the same way, so that no large band makes all its pairs.
+fresh bands, which are gone through in the same way. What is still large and in several
+components after that is dealt into tiles of a bounded number of shingles, and each two tiles
+of a band are compared inside one task: no pair is left out and none but links leave the task.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ ROWS, BANDS = 5, 32
 FEW = 64
 #: Times that large bands are dealt out again.
 DEALS = 1
+#: Shingles of a tile, on average; a task holds two tiles at a time.
+TILE = 1 << 20
 SHINGLES_SCHEMA = "doc_id long, shingles binary"
 
 
@@ -144,6 +148,75 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> D
     return full.mapInArrow(compare, "u long, v long")
 
 
+def _tile_links(members: list[tuple[int, int, int, bytes]], least: float) -> pa.RecordBatch:
+    """Links that join the components of one tile pair's members (doc_id, root, side, shingles).
+
+    Side 0 is looked up, side 1 asks, side 2 does both. An inverted index from shingles to
+    members counts what two sets share.
+    """
+    ids, roots, side = (np.array([m[k] for m in members], np.int64) for k in range(3))
+    sets = [np.frombuffer(m[3], np.uint64) for m in members]
+    label = np.unique(roots, return_inverse=True)[1]
+    held = np.flatnonzero(side != 1)
+    u, v = [], []
+    if len(held):
+        sizes = np.array([len(sets[k]) for k in held])
+        every = np.concatenate([sets[k] for k in held])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(held)), sizes)[order]
+        for k in np.flatnonzero(side != 0):
+            low, high = np.searchsorted(every, sets[k], "left"), np.searchsorted(every, sets[k], "right")
+            runs = high - low
+            at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            both = np.bincount(owner[at], minlength=len(held))
+            near = held[both >= least * (sizes + len(sets[k]) - both)]
+            near = near[label[near] != label[k]]
+            for other, first in zip(*np.unique(label[near], return_index=True), strict=True):
+                u.append(ids[k])
+                v.append(ids[near[first]])
+                label[label == other] = label[k]
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _tiled(docs: DataFrame, members: DataFrame, width: int, least: float) -> DataFrame:
+    """Confirmed links between members (key, doc_id, n, root) of different components that share a key.
+
+    Keys with the same members are gone through once. Time grows with the square of a key's
+    members, as all that could be told apart or joined before has been; memory does not.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(digests(x.as_py(), width)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, group = None, []
+        for batch in batches:
+            for key, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != tile and group:
+                    yield _tile_links(group, least)
+                    group = []
+                tile = key
+                group.append(member)
+        if group:
+            yield _tile_links(group, least)
+
+    spread = F.xxhash64("doc_id")
+    total, weight = F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") / F.lit(TILE)).cast("long").alias("t")
+    keys = members.groupBy("key").agg(total, weight, F.bit_xor(spread).alias("who"))
+    keys = cut(keys.groupBy("who", "m").agg(F.min("key").alias("key"), F.max("t").alias("t")).select("key", "m", "t"))
+    placed = join_sliced(members, keys, "key", "m", F.col("doc_id")).withColumn("own", F.pmod(spread, F.col("t")))
+    placed = placed.select("key", "doc_id", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)).alias("o"))
+    low, high = F.least("own", "o"), F.greatest("own", "o")
+    side = F.when(low == high, 2).when(F.col("own") == low, 0).otherwise(1)
+    placed = cut(placed.select("doc_id", "root", F.xxhash64("key", low, high).alias("tile"), side.cast("long").alias("side")))
+    times = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
+    made = cut(docs.select("doc_id", "text").join(times, "doc_id", "left_semi").mapInArrow(sets, SHINGLES_SCHEMA).dropDuplicates(["doc_id"]).join(times, "doc_id"))
+    full = join_sliced(placed, made, "doc_id", "m", F.col("tile")).select("tile", "doc_id", "root", "side", "shingles")
+    return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
     """One row per distinct id: doc_id and component_id, the smallest id reachable over confirmed pairs.
 
@@ -188,6 +261,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             shared = _banded(large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n").select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n"), BANDS * n_large)
             pairs = pairs.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
         more = _confirmed(docs, pairs, width, least)
+        if n_large and not again:
+            more = more.unionByName(_tiled(docs, large, width, least))
         roots = cut(components(roots.select("u", F.col("root").alias("v")).unionByName(more)))
         if not again:
             break

@@ -76,6 +76,48 @@ def test_large_families_hold_together(spark, few, monkeypatch):
     assert got == brute_force(rows)
 
 
+@pytest.mark.parametrize("tile", [1 << 20, 900])
+def test_bands_that_stay_large_lose_no_link(spark, tile, monkeypatch):
+    """Without further deals and with bands of two, all that lies apart goes through the tiles."""
+    monkeypatch.setattr(N, "FEW", 1)
+    monkeypatch.setattr(N, "DEALS", 0)
+    monkeypatch.setattr(N, "TILE", tile)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(40):
+        text = list(base)
+        for at in rng.sample(range(150), 3 + k % 4):
+            text[at] = f"x{rng.randrange(10**6)}"
+        near = list(text)
+        near[rng.randrange(150)] = "y"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), radius=0).collect()}
+    assert got == brute_force(rows) and len(set(got.values())) > 5
+
+
+def test_tiles_compare_all_pairs():
+    """Links of one tile, and of two, join what a comparison of all pairs joins."""
+    import numpy as np
+
+    rng = random.Random(4)
+    sets = [np.array(sorted(rng.sample(range(30), 20)), np.uint64) for _ in range(60)]
+    want = {(a, b) for a, b in combinations(range(60), 2) if len(set(sets[a]) & set(sets[b])) >= 0.6 * len(set(sets[a]) | set(sets[b]))}
+
+    def components(pairs):
+        root = list(range(60))
+        for a, b in pairs:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    for sides in ([2] * 60, [k % 2 for k in range(60)]):
+        made = N._tile_links([(k, k, side, x.tobytes()) for k, (side, x) in enumerate(zip(sides, sets, strict=True))], 0.6).to_pydict()
+        found = list(zip(made["u"], made["v"], strict=True))
+        reach = {(a, b) for a, b in want if sides[0] == 2 or sides[a] != sides[b]}
+        assert {tuple(sorted(p)) for p in found} <= reach
+        assert components(found) == components(reach) and len(found) < 60
+
+
 def test_planted_copies_are_found(spark):
     """Recall over texts of 300 words with one to twenty words changed, by similarity."""
     rng = random.Random(3)
