@@ -48,6 +48,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Keys up to which a table of them is broadcast once it was counted: 2 MB of ids.
+FEW_KEYS = 1 << 18
+
+
+def of_keys(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """rows whose key is (left_semi) or is not (left_anti) one of keys; where keys are few, the rows do not move."""
+    keys = cut(keys.select(key).distinct())
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, key, how)
+
+
 def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
     """rows joined with table, which has one row a key. The few keys of table that are ``hot`` are broadcast.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import cut, join_sliced
+from strataleaf.llm.common import cut, join_sliced, of_keys
 from strataleaf.llm.simhash import BITS, components, links
 
 ROWS, BANDS = 5, 32
@@ -100,32 +100,43 @@ def _marks(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp long, n long, whole binary, keys array<long>")
 
 
-def _fresh_keys(docs: DataFrame, width: int, deal: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and the sorted distinct digests of its shingles; one row for each set of an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(digests(x.as_py(), width)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SHINGLES_SCHEMA).distinct()
+
+
+def _fresh_keys(sets: DataFrame, deal: int) -> DataFrame:
     """doc_id and the band keys of a later deal."""
     hashers = _hashers(deal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [k for text in batch.column(1) for k in band_keys(np.unique(digests(text.as_py(), width)), hashers)]
+            keys = [k for found in batch.column(1) for k in band_keys(np.frombuffer(found.as_py(), np.uint64), hashers)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(keys, batch.num_rows)], names=["doc_id", "fresh"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fresh array<long>")
+    return sets.mapInArrow(run, "doc_id long, fresh array<long>")
 
 
 def _banded(members: DataFrame, total: int) -> DataFrame:
     """(key, doc_id, n, size, first) of the bands (key, doc_id, n) with two members or more; first is the smallest id."""
     members = cut(members)
     bands = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first")).where(F.col("size") > 1)
-    return cut(join_sliced(members, bands, "key", "size", F.col("doc_id"), total))
+    bands = cut(bands)
+    return cut(join_sliced(of_keys(members, bands, "key"), bands, "key", "size", F.col("doc_id"), total))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (u, v) of ids with a Jaccard similarity of at least ``least``."""
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(digests(x.as_py(), width)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct pairs (u, v) of ids that have a Jaccard similarity of at least ``least``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,12 +147,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> D
                 hit[k] = both >= least * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit)), batch.column(1).filter(pa.array(hit))], names=["u", "v"])
 
-    pairs = cut(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    by_u, by_v = (pairs.groupBy(F.col(c).alias("doc_id")).agg(F.count(F.lit(1)).alias(f"n_{c}")) for c in "uv")
-    ids = by_u.join(by_v, "doc_id", "full")
-    made = cut(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, SHINGLES_SCHEMA).join(ids, "doc_id"))
-    v_sets = made.where("n_v IS NOT NULL").select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"), F.col("n_v").alias("m"))
-    u_sets = made.where("n_u IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"), F.col("n_u").alias("m"))
+    counts = (pairs.groupBy(F.col(c).alias("doc_id")).agg(F.count(F.lit(1)).alias("m")) for c in "uv")
+    u_sets, v_sets = (sets.join(m, "doc_id").select(F.col("doc_id").alias(c), F.col("shingles").alias(d), "m") for m, c, d in zip(counts, "uv", "ab", strict=True))
     n = pairs.count()
     with_v = join_sliced(pairs, v_sets, "v", "m", F.col("u"), n).drop("m")
     full = join_sliced(with_v, u_sets, "u", "m", F.col("v"), n).select("u", "v", "a", "b")
@@ -178,18 +185,13 @@ def _tile_links(members: list[tuple[int, int, int, bytes]], least: float) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _tiled(docs: DataFrame, members: DataFrame, width: int, least: float) -> DataFrame:
+def _tiled(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """Confirmed links between members (key, doc_id, n, root) of different components that share a key.
 
     Keys with the same members are gone through once. Time grows with the square of a key's
     members, as all that could be told apart or joined before has been; memory does not.
     """
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(digests(x.as_py(), width)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, group = None, []
         for batch in batches:
@@ -212,8 +214,7 @@ def _tiled(docs: DataFrame, members: DataFrame, width: int, least: float) -> Dat
     side = F.when(low == high, 2).when(F.col("own") == low, 0).otherwise(1)
     placed = cut(placed.select("doc_id", "root", F.xxhash64("key", low, high).alias("tile"), side.cast("long").alias("side")))
     times = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
-    made = cut(docs.select("doc_id", "text").join(times, "doc_id", "left_semi").mapInArrow(sets, SHINGLES_SCHEMA).dropDuplicates(["doc_id"]).join(times, "doc_id"))
-    full = join_sliced(placed, made, "doc_id", "m", F.col("tile")).select("tile", "doc_id", "root", "side", "shingles")
+    full = join_sliced(placed, sets.join(times, "doc_id"), "doc_id", "m", F.col("tile")).select("tile", "doc_id", "root", "side", "shingles")
     return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
 
 
@@ -239,7 +240,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = links(nodes.select("fp"), radius)
     linked = edges.join(nodes.select(F.col("fp").alias("u"), F.col("least_id").alias("_u")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("least_id").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     equal = join_sliced(texts.select("doc_id", "fp"), nodes, "fp", "size", F.col("doc_id"), n_texts).select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
-    found = _confirmed(docs, stars.unionByName(linked).unionByName(equal), width, least)
+    first = _distinct(stars.unionByName(linked).unionByName(equal))
+    # Every later candidate shares a band, so these are all the texts that are ever compared.
+    sets = cut(_sets(of_keys(docs, shared.select("doc_id").unionByName(first.select(F.explode(F.array("u", "v")).alias("doc_id"))), "doc_id"), width))
+    found = _confirmed(sets, first, least)
     # Rows that share an id may have several sets; they are one document.
     same = placed.where("doc_id <> stand").select(F.col("doc_id").alias("u"), F.col("stand").alias("v"))
     roots = cut(components(found.unionByName(same)))
@@ -257,12 +261,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         large = apart.where(F.col("size") > FEW)
         again = deal < DEALS and n_large > 0
         if again:
-            fresh = cut(_fresh_keys(docs.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), width, deal + 1).dropDuplicates(["doc_id"]))
-            shared = _banded(large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n").select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n"), BANDS * n_large)
+            fresh = _fresh_keys(sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), deal + 1)
+            shared = _banded(large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n").select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n").distinct(), BANDS * n_large)
             pairs = pairs.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
-        more = _confirmed(docs, pairs, width, least)
+        more = _confirmed(sets, _distinct(pairs), least)
         if n_large and not again:
-            more = more.unionByName(_tiled(docs, large, width, least))
+            more = more.unionByName(_tiled(sets, large, least))
         roots = cut(components(roots.select("u", F.col("root").alias("v")).unionByName(more)))
         if not again:
             break
