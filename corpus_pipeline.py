@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataleaf.llm import exact_dedup, mixing, packing, quality
-from strataleaf.llm.common import ensure_checkpoint_dir, load, remove
+from strataleaf.llm.common import ensure_checkpoint_dir, load, of_keys, remove
 from strataleaf.llm.near_copies import near_groups
 from strataleaf.llm.queries import tokenizer_files
 
@@ -46,7 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.select(*COLUMNS).withColumn("_name", F.xxhash64("doc_id", "text"))
     groups = near_groups(named, id_col="_name", width=5, least=0.8, radius=6)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_name"))
-    return named.join(gone, "_name", "left_anti").select(*COLUMNS)
+    return of_keys(named, gone, "_name", "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
