@@ -52,10 +52,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 FEW_KEYS = 1 << 18
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """keys, counted, and marked for a broadcast if there are FEW_KEYS at most."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def of_keys(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """rows whose key is (left_semi) or is not (left_anti) one of keys; where keys are few, the rows do not move."""
-    keys = cut(keys.select(key).distinct())
-    return rows.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, key, how)
+    return rows.join(few(keys.select(key).distinct()), key, how)
 
 
 def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
