@@ -1,16 +1,16 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
 
 Texts with the same set stand for each other. Candidates are links of SimHash fingerprints and
-pairs that share a band of MinHash values; those whose 160 MinHash values agree far enough are
-confirmed on the two whole sets, so no text is linked to one that is not that similar. With 32 bands of five values a pair at 0.8 shares
+pairs that share a band of MinHash values; each is confirmed on the two whole sets, so no text
+is linked to one that is not that similar. With 32 bands of five values a pair at 0.8 shares
 none with a chance of 3 in a million, one at 0.9 with less than 1 in 10^12.
 
 Members of a band are first compared with its smallest id, which joins most of them. Bands
 whose members still lie in several components are then gone through: in one of at most FEW
-members, pairs of different components are compared; a larger one is dealt out again by 32
-fresh bands, which are gone through in the same way. What is still large and in several
-components after that is dealt into tiles of a bounded number of shingles, and each two tiles
-of a band are compared inside one task: no pair is left out and none but links leave the task.
+members, pairs of different components are compared. A larger one is dealt into tiles of a
+bounded number of shingles, and each two tiles are compared inside one task, from which none
+but links come. One of more than MANY members is first dealt out again by 32 fresh bands, in
+which members of a family meet more of each other; what lies apart after that goes to tiles.
 """
 
 from __future__ import annotations
@@ -22,19 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import cut, few, join_sliced, of_keys
+from strataleaf.llm.common import FEW_KEYS, cut, join_sliced, of_keys
 from strataleaf.llm.simhash import BITS, components, links
 
 ROWS, BANDS = 5, 32
 #: Members of a band up to which its pairs of different components are compared.
 FEW = 64
-#: Times that large bands are dealt out again.
+#: Members of a band from which on it is dealt out again, and how often that is done.
+MANY = 1024
 DEALS = 1
 #: Shingles of a tile, on average; a task holds two tiles at a time.
 TILE = 1 << 20
-#: Share of equal MinHash values below which a pair is not compared on whole sets: a pair at 0.8 lies there with a chance of 6 in 10^8.
-ESTIMATE = 0.75
-SHINGLES_SCHEMA = "doc_id long, shingles binary, sketch binary"
+SHINGLES_SCHEMA = "doc_id long, shingles binary"
 
 
 def _hashers(deal: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,20 +64,14 @@ def _fingerprint(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little")
 
 
-def min_hashes(shingles: np.ndarray, hashers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """MinHash values of a set of digests."""
-    factors, terms = hashers
-    low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(low, (shingles[at : at + 1024, None] * factors + terms).min(axis=0), out=low)
-    return low
-
-
 def band_keys(shingles: np.ndarray, hashers: tuple[np.ndarray, np.ndarray]) -> list[int]:
     """One key for each band of MinHash values of a set of digests."""
     import xxhash
 
-    low = min_hashes(shingles, hashers)
+    factors, terms = hashers
+    low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(low, (shingles[at : at + 1024, None] * factors + terms).min(axis=0), out=low)
     return [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(low.reshape(BANDS, ROWS))]
 
 
@@ -109,14 +102,12 @@ def _marks(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, the sorted distinct digests of its shingles, and a byte of each MinHash value; one row for each set of an id."""
-    hashers = _hashers(0)
+    """doc_id, and the sorted distinct digests of its shingles; one row for each set of an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.unique(digests(x.as_py(), width)) for x in batch.column(1)]
-            sketches = [(min_hashes(x, hashers) >> np.uint64(56)).astype(np.uint8).tobytes() for x in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in made], pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "shingles", "sketch"])
+            made = [np.unique(digests(x.as_py(), width)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SHINGLES_SCHEMA).distinct()
 
@@ -137,35 +128,17 @@ def _banded(members: DataFrame, total: int) -> DataFrame:
     """(key, doc_id, n, size, first) of the bands (key, doc_id, n) with two members or more; first is the smallest id."""
     bands = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first")).where(F.col("size") > 1)
     bands = cut(bands)
-    return cut(join_sliced(of_keys(members, bands, "key"), bands, "key", "size", F.col("doc_id"), total))
+    if bands.count() <= FEW_KEYS:
+        return cut(members.join(F.broadcast(bands), "key"))
+    return cut(join_sliced(members, bands, "key", "size", F.col("doc_id"), total))
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
     return cut(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
-def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """Pairs (u, v) with ``column`` of u and of v."""
-    counts = (few(pairs.groupBy(F.col(c).alias("doc_id")).agg(F.count(F.lit(1)).alias("m"))) for c in "uv")
-    of_u, of_v = (sets.select("doc_id", column).join(m, "doc_id").select(F.col("doc_id").alias(c), F.col(column).alias(d), "m") for m, c, d in zip(counts, "uv", "ab", strict=True))
-    n = pairs.count()
-    with_v = join_sliced(pairs, of_v, "v", "m", F.col("u"), n).drop("m")
-    return join_sliced(with_v, of_u, "u", "m", F.col("v"), n).select("u", "v", "a", "b")
-
-
 def _confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of the distinct pairs (u, v) of ids that have a Jaccard similarity of at least ``least``.
-
-    Sketches of 160 bytes meet first; the whole sets of those pairs only whose sketches agree far enough.
-    """
-
-    def chosen(batch: pa.RecordBatch, hit: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(hit)) for k in (0, 1)], names=["u", "v"])
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, ROWS * BANDS) for k in (2, 3))
-            yield chosen(batch, (a == b).sum(axis=1) >= ESTIMATE * least * ROWS * BANDS)
+    """Those of the distinct pairs (u, v) of ids that have a Jaccard similarity of at least ``least``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,10 +147,17 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                 a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 hit[k] = both >= least * (len(a) + len(b) - both)
-            yield chosen(batch, hit)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit)), batch.column(1).filter(pa.array(hit))], names=["u", "v"])
 
-    near = cut(_with_both(pairs, sets, "sketch").mapInArrow(likely, "u long, v long").distinct())
-    return _with_both(near, sets, "shingles").mapInArrow(compare, "u long, v long")
+    ends = F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")), F.struct(F.col("v").alias("doc_id"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v"))))
+    times = cut(pairs.select(ends.alias("e")).groupBy("e.doc_id").agg(F.sum("e.as_u").alias("n_u"), F.sum("e.as_v").alias("n_v")))
+    n_ids, n = times.agg(F.count(F.lit(1)), F.sum("n_u")).first()
+    made = sets.join(F.broadcast(times) if n_ids <= FEW_KEYS else times, "doc_id")
+    v_sets = made.where("n_v > 0").select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"), F.col("n_v").alias("m"))
+    u_sets = made.where("n_u > 0").select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"), F.col("n_u").alias("m"))
+    with_v = join_sliced(pairs, v_sets, "v", "m", F.col("u"), n or 0).drop("m")
+    full = join_sliced(with_v, u_sets, "u", "m", F.col("v"), n or 0).select("u", "v", "a", "b")
+    return full.mapInArrow(compare, "u long, v long")
 
 
 def _tile_links(members: list[tuple[int, int, int, bytes]], least: float) -> pa.RecordBatch:
@@ -239,7 +219,7 @@ def _tiled(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
     side = F.when(low == high, 2).when(F.col("own") == low, 0).otherwise(1)
     placed = cut(placed.select("doc_id", "root", F.xxhash64("key", low, high).alias("tile"), side.cast("long").alias("side")))
     times = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
-    full = join_sliced(placed, sets.drop("sketch").join(times, "doc_id"), "doc_id", "m", F.col("tile")).select("tile", "doc_id", "root", "side", "shingles")
+    full = join_sliced(placed, sets.join(times, "doc_id"), "doc_id", "m", F.col("tile")).select("tile", "doc_id", "root", "side", "shingles")
     return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
 
 
@@ -278,23 +258,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         now = shared.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "size", F.coalesce("root", "doc_id").alias("root"))
         open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("size").alias("m")).where("a < b").select("key", "m")
         apart = cut(join_sliced(now, open_keys, "key", "m", F.col("doc_id"), BANDS * n_texts).drop("m"))
-        n_apart, n_large = apart.agg(F.count(F.lit(1)), F.count_if(F.col("size") > FEW)).first()
+        last = deal == DEALS
+        dealt_out = F.lit(False) if last else F.col("size") > MANY
+        n_apart, n_large, n_again = apart.agg(F.count(F.lit(1)), F.count_if((F.col("size") > FEW) & ~dealt_out), F.count_if(dealt_out)).first()
         if not n_apart:
             break
         small = apart.where(F.col("size") <= FEW)
         other = small.select("key", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("root").alias("_root"))
         pairs = small.withColumnRenamed("doc_id", "u").join(other, "key").where((F.col("root") < F.col("_root")) & alike).select("u", "v")
-        large = apart.where(F.col("size") > FEW)
-        again = deal < DEALS and n_large > 0
-        if again:
+        if n_again:
+            large = apart.where(dealt_out)
             fresh = _fresh_keys(sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), deal + 1)
-            shared = _banded(large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n").select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n").transform(lambda rows: cut(rows.distinct())), BANDS * n_large)
+            spread = large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n")
+            shared = _banded(cut(spread.select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n").distinct()), BANDS * n_again)
             pairs = pairs.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
         more = _confirmed(sets, _distinct(pairs), least)
-        if n_large and not again:
-            more = more.unionByName(_tiled(sets, large, least))
+        if n_large:
+            more = more.unionByName(_tiled(sets, apart.where((F.col("size") > FEW) & ~dealt_out), least))
         roots = cut(components(roots.select("u", F.col("root").alias("v")).unionByName(more)))
-        if not again:
+        if not n_again:
             break
     ids = marked.select("doc_id").distinct()
     return ids.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

@@ -45,6 +45,7 @@ def made(seed):
 @pytest.mark.parametrize("few", [64, 2])
 def test_groups_are_those_of_all_pairs(spark, few, monkeypatch):
     monkeypatch.setattr(N, "FEW", few)
+    monkeypatch.setattr(N, "MANY", few)
     rows = made(1)
     got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute_force(rows)
@@ -62,6 +63,7 @@ def test_stage_drops_near_copies_and_nothing_else(spark, data):
 def test_large_families_hold_together(spark, few, monkeypatch):
     """Variants of one text that are each near it but not each other, copies of them, and a family that is near nothing."""
     monkeypatch.setattr(N, "FEW", few)
+    monkeypatch.setattr(N, "MANY", few)
     rng = random.Random(8)
     base = [f"b{k}" for k in range(120)]
     texts = [base]
