@@ -5,7 +5,9 @@ Decoding runs one document at a time in Arrow batches; all that follows is a pla
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,6 +22,7 @@ CONTAINERS = ("p", "div", "ul", "ol", "pre", "code", "blockquote", "table")
 # Elements without content.
 VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))
+REFERENCE = re.compile(r"&(?:#\d+;|#[xX][\da-fA-F]+;|[A-Za-z][A-Za-z\d]*;)?")
 ELEMENTS = "doc_id long, item int, pos int, tag string, level int, joined string, spaced string"
 
 
@@ -77,24 +80,33 @@ class _Elements(HTMLParser):
     handle_decl = handle_pi = unknown_decl = handle_comment
 
 
-def elements_of(markup: str | None) -> list[tuple[str, str, str]]:
+def _bare_as_text(markup: str) -> str:
+    """Markup in which an ampersand that begins no known reference with a semicolon stands for itself."""
+    return REFERENCE.sub(lambda m: m[0] if m[0].startswith("&#") or m[0][1:] in html5 else f"&amp;{m[0][1:]}", markup)
+
+
+def elements_of(markup: str | None, bare: bool = True) -> list[tuple[str, str, str]]:
     """(tag, text joined without a separator, text joined by spaces) of headings and containers in the body, in document order."""
     parser = _Elements()
-    parser.feed(markup or "")
+    parser.feed(markup or "" if bare else _bare_as_text(markup or ""))
     parser.close()
     parser._text()
     return [(tag, "".join(parts), " ".join(parts)) for tag, parts in parser.found[parser.body_at or 0 :]]
 
 
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", item_col: str | None = None) -> DataFrame:
-    """ELEMENTS of pages; an item is one file of an e-book (1 for a page of its own)."""
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", item_col: str | None = None, bare: bool = True) -> DataFrame:
+    """ELEMENTS of pages; an item is one file of an e-book (1 for a page of its own).
+
+    References without a semicolon, such as ``&amp``, are decoded as browsers do; without
+    ``bare`` they are text, as for one that was cut off.
+    """
     item = F.col(item_col).cast("int") if item_col else F.lit(1)
     source = pages.select(F.col(id_col).cast("long").alias("doc_id"), item.alias("item"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("pos", pa.int32()), ("tag", pa.string()), ("level", pa.int32()), ("joined", pa.string()), ("spaced", pa.string())])
         for batch in batches:
-            rows = [(d, i, k, tag, int(tag[1]) if tag in HEADINGS else None, a, b) for d, i, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (tag, a, b) in enumerate(elements_of(h))]
+            rows = [(d, i, k, tag, int(tag[1]) if tag in HEADINGS else None, a, b) for d, i, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (tag, a, b) in enumerate(elements_of(h, bare))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
 
     return source.mapInArrow(run, ELEMENTS)
