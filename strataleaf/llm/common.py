@@ -38,6 +38,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a checkpoint that a task reads at least, where it is gathered.
+PIECE = 4 << 20
+
+
+def cut_gathered(df: DataFrame) -> DataFrame:
+    """cut, then read in fewer partitions where they hold less than PIECE, by the bytes written.
+
+    A task leaves files and a log entry behind however little it reads. All rows are read, a
+    large table keeps its partitions, and there are as many as cores at least.
+    """
+    df = cut(df)
+    spark = df.sparkSession
+    rdd = df._jdf.queryExecution().logical().rdd()
+    path = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    pieces = max(spark.sparkContext.defaultParallelism, math.ceil(size / PIECE))
+    return df.coalesce(pieces) if 2 * pieces <= rdd.getNumPartitions() else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the files of shuffles and checkpoints that nothing refers to: it notices when the driver's JVM collects its garbage."""
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Remove a folder of any file system that Spark reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

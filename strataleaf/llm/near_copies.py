@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import FEW_KEYS, cut, join_sliced, of_keys
+from strataleaf.llm.common import FEW_KEYS, cut_gathered, join_sliced, of_keys, release
 from strataleaf.llm.simhash import BITS, components, links
 
 ROWS, BANDS = 5, 32
@@ -127,14 +127,14 @@ def _fresh_keys(sets: DataFrame, deal: int) -> DataFrame:
 def _banded(members: DataFrame, total: int) -> DataFrame:
     """(key, doc_id, n, size, first) of the bands (key, doc_id, n) with two members or more; first is the smallest id."""
     bands = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first")).where(F.col("size") > 1)
-    bands = cut(bands)
+    bands = cut_gathered(bands)
     if bands.count() <= FEW_KEYS:
-        return cut(members.join(F.broadcast(bands), "key"))
-    return cut(join_sliced(members, bands, "key", "size", F.col("doc_id"), total))
+        return cut_gathered(members.join(F.broadcast(bands), "key"))
+    return cut_gathered(join_sliced(members, bands, "key", "size", F.col("doc_id"), total))
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    return cut_gathered(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -150,7 +150,7 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit)), batch.column(1).filter(pa.array(hit))], names=["u", "v"])
 
     ends = F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")), F.struct(F.col("v").alias("doc_id"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v"))))
-    times = cut(pairs.select(ends.alias("e")).groupBy("e.doc_id").agg(F.sum("e.as_u").alias("n_u"), F.sum("e.as_v").alias("n_v")))
+    times = cut_gathered(pairs.select(ends.alias("e")).groupBy("e.doc_id").agg(F.sum("e.as_u").alias("n_u"), F.sum("e.as_v").alias("n_v")))
     n_ids, n = times.agg(F.count(F.lit(1)), F.sum("n_u")).first()
     made = sets.join(F.broadcast(times) if n_ids <= FEW_KEYS else times, "doc_id")
     v_sets = made.where("n_v > 0").select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"), F.col("n_v").alias("m"))
@@ -212,12 +212,12 @@ def _tiled(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
     spread = F.xxhash64("doc_id")
     total, weight = F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") / F.lit(TILE)).cast("long").alias("t")
     keys = members.groupBy("key").agg(total, weight, F.bit_xor(spread).alias("who"))
-    keys = cut(keys.groupBy("who", "m").agg(F.min("key").alias("key"), F.max("t").alias("t")).select("key", "m", "t"))
+    keys = cut_gathered(keys.groupBy("who", "m").agg(F.min("key").alias("key"), F.max("t").alias("t")).select("key", "m", "t"))
     placed = join_sliced(members, keys, "key", "m", F.col("doc_id")).withColumn("own", F.pmod(spread, F.col("t")))
     placed = placed.select("key", "doc_id", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)).alias("o"))
     low, high = F.least("own", "o"), F.greatest("own", "o")
     side = F.when(low == high, 2).when(F.col("own") == low, 0).otherwise(1)
-    placed = cut(placed.select("doc_id", "root", F.xxhash64("key", low, high).alias("tile"), side.cast("long").alias("side")))
+    placed = cut_gathered(placed.select("doc_id", "root", F.xxhash64("key", low, high).alias("tile"), side.cast("long").alias("side")))
     times = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
     full = join_sliced(placed, sets.join(times, "doc_id"), "doc_id", "m", F.col("tile")).select("tile", "doc_id", "root", "side", "shingles")
     return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
@@ -231,10 +231,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a whole. An empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    marked = cut(_marks(docs, width))
+    marked = cut_gathered(_marks(docs, width))
     # One text stands for all with its set: the smallest id, so its band keys and its size are theirs.
     one = F.min(F.struct("doc_id", "fp", "n", "keys")).alias("one")
-    stand = cut(marked.groupBy("whole").agg(one, F.count(F.lit(1)).alias("copies")).select("whole", "one.*", "copies"))
+    stand = cut_gathered(marked.groupBy("whole").agg(one, F.count(F.lit(1)).alias("copies")).select("whole", "one.*", "copies"))
     placed = join_sliced(marked.select("whole", "doc_id"), stand.select("whole", F.col("doc_id").alias("stand"), "copies"), "whole", "copies", F.col("doc_id"))
     texts = stand.select("doc_id", "fp", "n", "keys")
     alike = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
@@ -242,22 +242,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_texts = texts.count()
     shared = _banded(texts.select(F.explode("keys").alias("key"), "doc_id", "n"), BANDS * n_texts)
     stars = shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    nodes = cut(texts.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")))
+    nodes = cut_gathered(texts.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")))
     edges = links(nodes.select("fp"), radius)
     linked = edges.join(nodes.select(F.col("fp").alias("u"), F.col("least_id").alias("_u")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("least_id").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     equal = join_sliced(texts.select("doc_id", "fp"), nodes, "fp", "size", F.col("doc_id"), n_texts).select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
     first = _distinct(stars.unionByName(linked).unionByName(equal))
     # Every later candidate shares a band, so these are all the texts that are ever compared.
-    sets = cut(_sets(of_keys(docs, shared.select("doc_id").unionByName(first.select(F.explode(F.array("u", "v")).alias("doc_id"))), "doc_id"), width))
+    release(docs.sparkSession)
+    sets = cut_gathered(_sets(of_keys(docs, shared.select("doc_id").unionByName(first.select(F.explode(F.array("u", "v")).alias("doc_id"))), "doc_id"), width))
     found = _confirmed(sets, first, least)
     # Rows that share an id may have several sets; they are one document.
     same = placed.where("doc_id <> stand").select(F.col("doc_id").alias("u"), F.col("stand").alias("v"))
-    roots = cut(components(found.unionByName(same)))
+    roots = cut_gathered(components(found.unionByName(same), keep=cut_gathered))
+    release(docs.sparkSession)
 
     for deal in range(DEALS + 1):
         now = shared.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "size", F.coalesce("root", "doc_id").alias("root"))
         open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("size").alias("m")).where("a < b").select("key", "m")
-        apart = cut(join_sliced(now, open_keys, "key", "m", F.col("doc_id"), BANDS * n_texts).drop("m"))
+        apart = cut_gathered(join_sliced(now, open_keys, "key", "m", F.col("doc_id"), BANDS * n_texts).drop("m"))
         last = deal == DEALS
         dealt_out = F.lit(False) if last else F.col("size") > MANY
         n_apart, n_large, n_again = apart.agg(F.count(F.lit(1)), F.count_if((F.col("size") > FEW) & ~dealt_out), F.count_if(dealt_out)).first()
@@ -270,12 +272,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             large = apart.where(dealt_out)
             fresh = _fresh_keys(sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), deal + 1)
             spread = large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n")
-            shared = _banded(cut(spread.select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n").distinct()), BANDS * n_again)
+            shared = _banded(cut_gathered(spread.select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n").distinct()), BANDS * n_again)
             pairs = pairs.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
+            release(docs.sparkSession)
         more = _confirmed(sets, _distinct(pairs), least)
         if n_large:
             more = more.unionByName(_tiled(sets, apart.where((F.col("size") > FEW) & ~dealt_out), least))
-        roots = cut(components(roots.select("u", F.col("root").alias("v")).unionByName(more)))
+        roots = cut_gathered(components(roots.select("u", F.col("root").alias("v")).unionByName(more), keep=cut_gathered))
+        release(docs.sparkSession)
         if not n_again:
             break
     ids = marked.select("doc_id").distinct()

@@ -12,7 +12,7 @@ they leave the task; stars of all shards are joined by alternating large and sma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -274,15 +274,16 @@ def _flat(now: DataFrame) -> tuple[bool, int]:
     return (most or 0) <= 1 and not both, n or 0
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(u, root) for every node of the edges (u, v), by alternating large and small stars; roots map to themselves.
 
     Each partition first reduces its edges to stars, which name a node beside the centre once;
     edges of a node then meet, at most one from each partition, and join their centres. A
     star's centre can have a large share of the edges: its rows are dealt out in slices.
+    ``keep`` writes the edges of a round.
     """
     alone = edges.where("u <> v").select("u", "v").mapInArrow(contract, "u long, v long")
-    now = cut(alone.repartition("u").mapInArrow(contract, "u long, v long").distinct())
+    now = keep(alone.repartition("u").mapInArrow(contract, "u long, v long").distinct())
     size = F.count(F.lit(1)).alias("size")
     for _ in range(most_rounds):
         done, n = _flat(now)
@@ -293,7 +294,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = join_sliced(both.where("v > u"), lows, "u", "size", F.col("v"), 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"), size)
         small = join_sliced(large, lows, "u", "size", F.col("v"), 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lows.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small)
+        now = keep(small)
     else:
         raise RuntimeError("the components did not settle")
     return now.select("u", F.col("v").alias("root")).unionByName(now.select("v").distinct().select(F.col("v").alias("u"), F.col("v").alias("root")))

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
+from strataleaf.llm import common
 from strataleaf.llm import near_copies as N
 
 
@@ -141,3 +142,34 @@ def test_edges(docs, no_docs):
     assert set(got) == {r["doc_id"] for r in docs.where("doc_id IS NOT NULL").collect()}
     assert got[4] == got[5] == 3 and got[2] == 1 and got[8] == 8
     assert N.near_groups(no_docs).count() == 0
+
+
+def test_gathered_checkpoints_hold_all_rows(spark, monkeypatch):
+    """A small checkpoint is read in as many partitions as there are cores, a large one in all of its own."""
+    rows = spark.range(5000).repartition(40)
+    gathered = common.cut_gathered(rows)
+    assert gathered.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in gathered.collect()) == list(range(5000))
+    monkeypatch.setattr(common, "PIECE", 1 << 10)
+    assert common.cut_gathered(rows).rdd.getNumPartitions() == 40
+    assert common.cut_gathered(spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_many_partitions_leave_few_tasks(spark):
+    """Over 48 partitions, as on a cluster, 2,112 tasks ran here, and 4,592 where small checkpoints kept their partitions."""
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows, tracker = made(6), spark.sparkContext.statusTracker()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("few-tasks", "")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert got == brute_force(rows)
+    assert tasks < 3000
