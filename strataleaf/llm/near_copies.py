@@ -26,8 +26,8 @@ from strataleaf.llm.common import FEW_KEYS, cut_gathered, join_sliced, of_keys,
 from strataleaf.llm.simhash import BITS, components, links
 
 ROWS, BANDS = 5, 32
-#: Members of a band up to which its pairs of different components are compared.
-FEW = 64
+#: Members of a band up to which its pairs of different components are listed and compared one by one: at most 3.5 pairs a member.
+FEW = 8
 #: Members of a band from which on it is dealt out again, and how often that is done.
 MANY = 1024
 DEALS = 1

@@ -173,3 +173,20 @@ def test_many_partitions_leave_few_tasks(spark):
     tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
     assert got == brute_force(rows)
     assert tasks < 3000
+
+
+def test_listed_pairs_grow_with_members_only(spark, monkeypatch):
+    """A family of 60 that share bands but lie apart; with pairs listed in bands of up to 64 there are as many as its square."""
+    listed, distinct = [], N._distinct
+    monkeypatch.setattr(N, "_distinct", lambda pairs: listed.append(pairs.count()) or distinct(pairs))
+    rng = random.Random(13)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for at in rng.sample(range(150), 5):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), radius=0).collect()}
+    assert got == brute_force(rows)
+    assert sum(listed[1:]) < 1000
