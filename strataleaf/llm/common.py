@@ -38,22 +38,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Bytes of a checkpoint that a task reads at least, where it is gathered.
-PIECE = 4 << 20
+#: Bytes of a checkpoint that a task reads at least, where it is gathered; that it writes, by a bound on them; and of a row of a few numbers.
+PIECE, WRITTEN, ROW = 4 << 20, 1 << 20, 24
 
 
-def cut_gathered(df: DataFrame) -> DataFrame:
+def cut_gathered(df: DataFrame, most: int | None = None) -> DataFrame:
     """cut, then read in fewer partitions where they hold less than PIECE, by the bytes written.
 
-    A task leaves files and a log entry behind however little it reads. All rows are read, a
-    large table keeps its partitions, and there are as many as cores at least.
+    A task leaves files and a log entry behind however little it reads, and for each file on a
+    local disk an executor starts a process that counts as large as itself until it has begun.
+    ``most``: bytes that df can have, from the rows known so far; where its partitions would
+    hold less than WRITTEN, fewer write them. All rows are read, a large table keeps its
+    partitions, and there are as many as cores at least.
     """
-    df = cut(df)
     spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if most is not None:
+        writers = max(cores, math.ceil(most / WRITTEN))
+        if 2 * writers <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(writers)
+    df = cut(df)
     rdd = df._jdf.queryExecution().logical().rdd()
     path = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
     size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    pieces = max(spark.sparkContext.defaultParallelism, math.ceil(size / PIECE))
+    pieces = max(cores, math.ceil(size / PIECE))
     return df.coalesce(pieces) if 2 * pieces <= rdd.getNumPartitions() else df
 
 

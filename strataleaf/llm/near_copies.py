@@ -9,8 +9,9 @@ Members of a band are first compared with its smallest id, which joins most of t
 whose members still lie in several components are then gone through: in one of at most FEW
 members, pairs of different components are compared. A larger one is dealt into tiles of a
 bounded number of shingles, and each two tiles are compared inside one task, from which none
-but links come. One of more than MANY members is first dealt out again by 32 fresh bands, in
-which members of a family meet more of each other; what lies apart after that goes to tiles.
+but links come. Texts of those with more than MANY members are first dealt out again, each
+once, by 32 fresh bands, in which members of a family meet more of each other; what lies
+apart after that goes to tiles.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import FEW_KEYS, cut_gathered, join_sliced, of_keys, release
-from strataleaf.llm.simhash import BITS, components, links
+from strataleaf.llm.common import FEW_KEYS, ROW, cut_gathered, join_sliced, of_keys, release
+from strataleaf.llm.simhash import BITS, components, contract, links
 
 ROWS, BANDS = 5, 32
 #: Members of a band up to which its pairs of different components are listed and compared one by one: at most 3.5 pairs a member.
@@ -127,18 +128,21 @@ def _fresh_keys(sets: DataFrame, deal: int) -> DataFrame:
 def _banded(members: DataFrame, total: int) -> DataFrame:
     """(key, doc_id, n, size, first) of the bands (key, doc_id, n) with two members or more; first is the smallest id."""
     bands = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first")).where(F.col("size") > 1)
-    bands = cut_gathered(bands)
+    bands = cut_gathered(bands, total // 2 * ROW)
     if bands.count() <= FEW_KEYS:
-        return cut_gathered(members.join(F.broadcast(bands), "key"))
-    return cut_gathered(join_sliced(members, bands, "key", "size", F.col("doc_id"), total))
+        return cut_gathered(members.join(F.broadcast(bands), "key"), total * 2 * ROW)
+    return cut_gathered(join_sliced(members, bands, "key", "size", F.col("doc_id"), total), total * 2 * ROW)
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
-    return cut_gathered(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of the distinct pairs (u, v) of ids that have a Jaccard similarity of at least ``least``."""
+def _confirmed(sets: DataFrame, pairs: DataFrame, least: float, n_ids: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) of ids that have a Jaccard similarity of at least ``least``, reduced to stars in each partition.
+
+    ``n_ids``: how many ids there are at most. The same Python worker compares and reduces.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +154,14 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit)), batch.column(1).filter(pa.array(hit))], names=["u", "v"])
 
     ends = F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")), F.struct(F.col("v").alias("doc_id"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v"))))
-    times = cut_gathered(pairs.select(ends.alias("e")).groupBy("e.doc_id").agg(F.sum("e.as_u").alias("n_u"), F.sum("e.as_v").alias("n_v")))
+    times = cut_gathered(pairs.select(ends.alias("e")).groupBy("e.doc_id").agg(F.sum("e.as_u").alias("n_u"), F.sum("e.as_v").alias("n_v")), n_ids * ROW)
     n_ids, n = times.agg(F.count(F.lit(1)), F.sum("n_u")).first()
     made = sets.join(F.broadcast(times) if n_ids <= FEW_KEYS else times, "doc_id")
     v_sets = made.where("n_v > 0").select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"), F.col("n_v").alias("m"))
     u_sets = made.where("n_u > 0").select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"), F.col("n_u").alias("m"))
     with_v = join_sliced(pairs, v_sets, "v", "m", F.col("u"), n or 0).drop("m")
     full = join_sliced(with_v, u_sets, "u", "m", F.col("v"), n or 0).select("u", "v", "a", "b")
-    return full.mapInArrow(compare, "u long, v long")
+    return full.mapInArrow(lambda batches: contract(compare(batches)), "u long, v long")
 
 
 def _tile_links(members: list[tuple[int, int, int, bytes]], least: float) -> pa.RecordBatch:
@@ -190,8 +194,8 @@ def _tile_links(members: list[tuple[int, int, int, bytes]], least: float) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _tiled(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """Confirmed links between members (key, doc_id, n, root) of different components that share a key.
+def _tiled(sets: DataFrame, members: DataFrame, least: float, n_members: int) -> DataFrame:
+    """Confirmed links between members (key, doc_id, n, root) of different components that share a key, reduced to stars in each partition.
 
     Keys with the same members are gone through once. Time grows with the square of a key's
     members, as all that could be told apart or joined before has been; memory does not.
@@ -212,15 +216,16 @@ def _tiled(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
     spread = F.xxhash64("doc_id")
     total, weight = F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") / F.lit(TILE)).cast("long").alias("t")
     keys = members.groupBy("key").agg(total, weight, F.bit_xor(spread).alias("who"))
-    keys = cut_gathered(keys.groupBy("who", "m").agg(F.min("key").alias("key"), F.max("t").alias("t")).select("key", "m", "t"))
-    placed = join_sliced(members, keys, "key", "m", F.col("doc_id")).withColumn("own", F.pmod(spread, F.col("t")))
+    keys = cut_gathered(keys.groupBy("who", "m").agg(F.min("key").alias("key"), F.max("t").alias("t")).select("key", "m", "t"), n_members * ROW)
+    n, n_placed = keys.agg(F.sum("m"), F.sum(F.col("m") * F.col("t"))).first()
+    placed = join_sliced(members, keys, "key", "m", F.col("doc_id"), n or 0).withColumn("own", F.pmod(spread, F.col("t")))
     placed = placed.select("key", "doc_id", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)).alias("o"))
     low, high = F.least("own", "o"), F.greatest("own", "o")
     side = F.when(low == high, 2).when(F.col("own") == low, 0).otherwise(1)
-    placed = cut_gathered(placed.select("doc_id", "root", F.xxhash64("key", low, high).alias("tile"), side.cast("long").alias("side")))
+    placed = cut_gathered(placed.select("doc_id", "root", F.xxhash64("key", low, high).alias("tile"), side.cast("long").alias("side")), (n_placed or 0) * 2 * ROW)
     times = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
     full = join_sliced(placed, sets.join(times, "doc_id"), "doc_id", "m", F.col("tile")).select("tile", "doc_id", "root", "side", "shingles")
-    return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
+    return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: contract(run(batches)), "u long, v long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
@@ -239,27 +244,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stand.select("doc_id", "fp", "n", "keys")
     alike = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
 
-    n_texts = texts.count()
-    shared = _banded(texts.select(F.explode("keys").alias("key"), "doc_id", "n"), BANDS * n_texts)
+    n_texts, n_shingles = texts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_shared = BANDS * n_texts
+    shared = _banded(texts.select(F.explode("keys").alias("key"), "doc_id", "n"), n_shared)
     stars = shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    nodes = cut_gathered(texts.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")))
+    nodes = cut_gathered(texts.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")), n_texts * ROW)
     edges = links(nodes.select("fp"), radius)
     linked = edges.join(nodes.select(F.col("fp").alias("u"), F.col("least_id").alias("_u")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("least_id").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     equal = join_sliced(texts.select("doc_id", "fp"), nodes, "fp", "size", F.col("doc_id"), n_texts).select(F.col("doc_id").alias("u"), F.col("least_id").alias("v"))
-    first = _distinct(stars.unionByName(linked).unionByName(equal))
+    first = cut_gathered(_distinct(stars.unionByName(linked).unionByName(equal)), n_shared * ROW)
     # Every later candidate shares a band, so these are all the texts that are ever compared.
     release(docs.sparkSession)
-    sets = cut_gathered(_sets(of_keys(docs, shared.select("doc_id").unionByName(first.select(F.explode(F.array("u", "v")).alias("doc_id"))), "doc_id"), width))
-    found = _confirmed(sets, first, least)
+    compared = shared.select("doc_id").unionByName(first.select(F.explode(F.array("u", "v")).alias("doc_id")))
+    sets = cut_gathered(_sets(of_keys(docs, compared, "doc_id"), width), 8 * (n_shingles or 0) + n_texts * ROW)
+    keep = lambda stars: cut_gathered(stars, 2 * n_texts * ROW)
+    found = _confirmed(sets, first, least, n_texts)
     # Rows that share an id may have several sets; they are one document.
     same = placed.where("doc_id <> stand").select(F.col("doc_id").alias("u"), F.col("stand").alias("v"))
-    roots = cut_gathered(components(found.unionByName(same), keep=cut_gathered))
+    roots = keep(components(found.unionByName(same), keep=keep, reduced=True))
     release(docs.sparkSession)
 
     for deal in range(DEALS + 1):
         now = shared.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "size", F.coalesce("root", "doc_id").alias("root"))
         open_keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("size").alias("m")).where("a < b").select("key", "m")
-        apart = cut_gathered(join_sliced(now, open_keys, "key", "m", F.col("doc_id"), BANDS * n_texts).drop("m"))
+        apart = cut_gathered(join_sliced(now, open_keys, "key", "m", F.col("doc_id"), n_shared).drop("m"), n_shared * 2 * ROW)
         last = deal == DEALS
         dealt_out = F.lit(False) if last else F.col("size") > MANY
         n_apart, n_large, n_again = apart.agg(F.count(F.lit(1)), F.count_if((F.col("size") > FEW) & ~dealt_out), F.count_if(dealt_out)).first()
@@ -269,16 +277,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         other = small.select("key", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("root").alias("_root"))
         pairs = small.withColumnRenamed("doc_id", "u").join(other, "key").where((F.col("root") < F.col("_root")) & alike).select("u", "v")
         if n_again:
-            large = apart.where(dealt_out)
+            # A text of several such bands is dealt out once: whoever shares one of them with it shares fresh bands too, if at all.
+            large = cut_gathered(apart.where(dealt_out).select("doc_id", "n").distinct(), n_again * ROW)
+            n_shared = BANDS * large.count()
             fresh = _fresh_keys(sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), deal + 1)
-            spread = large.join(fresh, "doc_id").select(F.explode("fresh").alias("_fresh"), "key", "doc_id", "n")
-            shared = _banded(cut_gathered(spread.select(F.xxhash64("key", "_fresh").alias("key"), "doc_id", "n").distinct()), BANDS * n_again)
+            spread = large.join(fresh, "doc_id").select(F.explode("fresh").alias("key"), "doc_id", "n").distinct()
+            shared = _banded(cut_gathered(spread, n_shared * ROW), n_shared)
             pairs = pairs.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
             release(docs.sparkSession)
-        more = _confirmed(sets, _distinct(pairs), least)
+        more = _confirmed(sets, cut_gathered(_distinct(pairs), (FEW * n_apart + n_shared) * ROW), least, n_texts)
         if n_large:
-            more = more.unionByName(_tiled(sets, apart.where((F.col("size") > FEW) & ~dealt_out), least))
-        roots = cut_gathered(components(roots.select("u", F.col("root").alias("v")).unionByName(more), keep=cut_gathered))
+            more = more.unionByName(_tiled(sets, apart.where((F.col("size") > FEW) & ~dealt_out), least, n_large))
+        roots = keep(components(roots.select("u", F.col("root").alias("v")).unionByName(more), keep=keep, reduced=True))
         release(docs.sparkSession)
         if not n_again:
             break

@@ -14,6 +14,7 @@ out as falling powers of two, which pads nothing. No text is shuffled.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -41,10 +42,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None, special: str = "<|endoftext|>"):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.special, self.fast = special, None
+        self.vocabulary, self.special, self.fast = vocabulary, special, None
         if ranks and pattern:
             import base64
 
@@ -54,6 +52,13 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        """Read when the first text needs it: most partitions have none that does."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or self.special in text:
             return self.slow.encode(text, add_special_tokens=False).ids

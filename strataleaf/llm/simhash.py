@@ -274,15 +274,17 @@ def _flat(now: DataFrame) -> tuple[bool, int]:
     return (most or 0) <= 1 and not both, n or 0
 
 
-def components(edges: DataFrame, most_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = cut, reduced: bool = False) -> DataFrame:
     """(u, root) for every node of the edges (u, v), by alternating large and small stars; roots map to themselves.
 
     Each partition first reduces its edges to stars, which name a node beside the centre once;
     edges of a node then meet, at most one from each partition, and join their centres. A
     star's centre can have a large share of the edges: its rows are dealt out in slices.
-    ``keep`` writes the edges of a round.
+    ``keep`` writes the edges of a round. ``reduced``: partitions of edges have been reduced.
     """
-    alone = edges.where("u <> v").select("u", "v").mapInArrow(contract, "u long, v long")
+    alone = edges.where("u <> v").select("u", "v")
+    if not reduced:
+        alone = alone.mapInArrow(contract, "u long, v long")
     now = keep(alone.repartition("u").mapInArrow(contract, "u long, v long").distinct())
     size = F.count(F.lit(1)).alias("size")
     for _ in range(most_rounds):

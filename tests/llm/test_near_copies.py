@@ -1,5 +1,6 @@
 """The near-copy stage against a comparison of all pairs."""
 
+import os
 import random
 from itertools import combinations
 
@@ -190,3 +191,51 @@ def test_listed_pairs_grow_with_members_only(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), radius=0).collect()}
     assert got == brute_force(rows)
     assert sum(listed[1:]) < 1000
+
+
+def family(seed=13, members=60, words=150, changed=5):
+    """Texts that share bands but lie apart."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(members):
+        text = [f"b{k}" for k in range(words)]
+        for at in rng.sample(range(words), changed):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+def test_small_tables_write_few_files(spark, monkeypatch):
+    """Over 48 partitions, as on a cluster, small tables of a known bound are written by few tasks: an executor starts a process for each file."""
+    files, cut = [], common.cut
+
+    def counted(df):
+        df = cut(df)
+        path = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+        files.append(sum(x.startswith("part-") for x in os.listdir(path)))
+        return df
+
+    monkeypatch.setattr(common, "cut", counted)
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = made(6)
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_force(rows)
+    assert sum(files) < 15 * len(files), files
+
+
+def test_texts_of_several_large_bands_are_dealt_once(spark, monkeypatch):
+    """A family that shares several large bands has 32 fresh bands a text, not 32 for each large band of a text."""
+    members, banded = [], N._banded
+    monkeypatch.setattr(N, "MANY", 8)
+    monkeypatch.setattr(N, "_banded", lambda rows, total: members.append(rows.count()) or banded(rows, total))
+    rows = family(changed=3)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), radius=0).collect()}
+    assert got == brute_force(rows)
+    assert len(members) == 2 and members[1] <= N.BANDS * len(rows)
